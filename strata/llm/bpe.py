@@ -95,7 +95,7 @@ class Merges:
                         break
                     fits = pairs.get(pair := last << 20 | token)
                     if fits is None:
-                        if len(pairs) > 1_000_000:
+                        if len(pairs) > 300_000:
                             pairs.clear()
                         fits = pairs[pair] = self.compatible(last, token)
                     if fits:
@@ -118,7 +118,7 @@ class Merges:
 class Bpe:
     """A tokenizer file (JSON) of one of two kinds: byte-level, or with word ends, lower case and white space dropped."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -135,7 +135,7 @@ class Bpe:
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self.runs = re.compile(f"[^{SPACE}]+" if self.words else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.quick = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-        self.cache, self.pieces = Bounded(self._chunk, 500_000), Bounded(self._piece, 250_000)
+        self.cache, self.pieces = Bounded(self._chunk, cache), Bounded(self._piece, cache // 3)
         self._offsets({**vocab, **self.special}, bool(spec["decoder"]))
 
     def _offsets(self, vocab: dict[str, int], raw: bool) -> None:
@@ -144,7 +144,7 @@ class Bpe:
         byte = {c: b for b, c in enumerate(self.letters)}
         for t, i in vocab.items():
             entries[i] = bytes(byte[c] for c in t) if raw and t not in self.special else t.encode() + (b"" if raw else b" ")
-        self.raw = raw
+        self.raw, self.size = raw, len(entries)
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
         self.lengths = np.array([len(e) for e in entries], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
@@ -154,18 +154,17 @@ class Bpe:
         if self.words:
             chunk = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         pieces = self.pieces
-        body, tail = (chunk, "") if chunk.isalpha() else (chunk[:-1], chunk[-1:])
-        if tail and tail in ",." and body.isalpha():  # most runs: letters, perhaps with one stop after them
-            out = pieces[body] + pieces[tail]
-        elif not tail:
-            out = pieces[body] if len(body) < 40 else self._piece(body)
-        else:
-            out = [i for p in self.pattern.findall(chunk) for i in (pieces[p] if len(p) < 40 else self._piece(p))]
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def _piece(self, piece: str) -> list[int]:
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():  # most runs: letters, perhaps after a space, perhaps with one stop after them
+            return pieces[chunk] if len(chunk) < 40 else self._piece(chunk)
+        elif word[:-1].isalpha() and word[-1] in ",.":
+            return pieces[chunk[:-1]] + pieces[chunk[-1]]
+        return b"".join([pieces[p] if len(p) < 40 else self._piece(p) for p in self.pattern.findall(chunk)])
+
+    def _piece(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return self.merges.encode(symbols + END if self.suffix else symbols)
+        out = self.merges.encode(symbols + END if self.suffix else symbols)
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, 32-bit little-endian. Strings of special tokens in the text are those tokens."""
@@ -196,9 +195,9 @@ class Bpe:
 
 
 @functools.lru_cache(4)
-def tokenizer(path: str) -> Bpe:
-    """Loaded once in each worker process."""
-    return Bpe(path)
+def tokenizer(path: str, cache: int = 200_000) -> Bpe:
+    """Loaded once in each worker process; `cache` bounds each generation of the runs whose ids are remembered."""
+    return Bpe(path, cache)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
