@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 M64 = (1 << 64) - 1
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many, so that what is derived from them stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows and, where a batch has several, about so many bytes."""
+
+    def halves(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if b.num_rows > 1 and b.nbytes > size:
+            yield from halves(b.slice(0, b.num_rows // 2))
+            yield from halves(b.slice(b.num_rows // 2))
+        elif b.num_rows:
+            yield b
+
     for b in batches:
         for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+            yield from halves(b.slice(i, rows))
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe
-from strata.session import table
+from strata.llm import bpe, compression, langid, packing, quality, secrets, token_store
+from strata.llm.common import held_out
+from strata.session import fresh_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,8 +27,50 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the compression bands for every document."""
+    return compression.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed in the shares of their sources into sequences of 2,048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, 1).drop("queue")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of all documents in order, read the files back, and give a digest of each list."""
+    path = fresh_path(spark, "tokens")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, BYTE_BPE, 2)
+    return token_store.digests(token_store.read_store(spark, path))
+
+
+def op8_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and linked secrets of every document."""
+    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
+
+
+def op9_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).withColumn("held_out", held_out())
+
+
+def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the languages that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).withColumn("held_out", held_out())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op4_compression_bands": op4_compression_bands,
+    "op6_mixture_packing": op6_mixture_packing,
+    "op7_token_store": op7_token_store,
+    "op8_credential_scan": op8_credential_scan,
+    "op9_quality_attention": op9_quality_attention,
+    "op10_string_kernel_language": op10_string_kernel_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
