@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, compression, langid, packing, quality, secrets, token_store
+from strata.llm import bpe, compression, langid, ngram_join, packing, quality, secrets, token_store
 from strata.llm.common import held_out
 from strata.session import fresh_path, table
 
@@ -32,6 +32,11 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under links of Jaccard similarity 0.75 or more."""
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed in the shares of their sources into sequences of 2,048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, 1).drop("queue")
@@ -66,6 +71,7 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op4_compression_bands": op4_compression_bands,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_mixture_packing": op6_mixture_packing,
     "op7_token_store": op7_token_store,
     "op8_credential_scan": op8_credential_scan,
