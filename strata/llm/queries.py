@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, compression, langid, ngram_join, packing, quality, secrets, token_store
+from strata.llm import bpe, compression, langid, ngram_join, packing, quality, secrets, token_store, topk, url_filter
 from strata.llm.common import held_out
 from strata.session import fresh_path, table
 
@@ -27,6 +27,16 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or model verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every twentieth vector, by inner product of the quantised vectors."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the compression bands for every document."""
     return compression.quality_rules(table(spark, sf_dir, "documents"))
@@ -70,6 +80,8 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_url_ratio": op2_url_ratio,
+    "op3_segment_topk": op3_segment_topk,
     "op4_compression_bands": op4_compression_bands,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_mixture_packing": op6_mixture_packing,
@@ -79,4 +91,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_string_kernel_language": op10_string_kernel_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_segment_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT * FROM r WHERE rank <= 20
+    """,
+}
