@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strata.llm.common import Bounded, keyed_text, map_rows
 
@@ -118,7 +119,7 @@ class Merges:
 class Bpe:
     """A tokenizer file (JSON) of one of two kinds: byte-level, or with word ends, lower case and white space dropped."""
 
-    def __init__(self, path: str, cache: int):
+    def __init__(self, path: str, cache: int, library: bool):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -127,8 +128,11 @@ class Bpe:
         if model["type"] != "BPE" or model["ignore_merges"] or self.words != bool(self.suffix) or self.words != bool(spec["normalizer"]):
             raise ValueError(f"{path}: a kind of tokenizer that isn't known here")
         vocab = dict(model["vocab"])
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.merges = Merges(vocab, merges, self.suffix)
+        if library:
+            self.symbols = Tokenizer.from_file(path).model.tokenize
+        else:
+            self.merges = Merges(vocab, [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], self.suffix)
+        self.library = library
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.letters = byte_letters()
@@ -163,7 +167,7 @@ class Bpe:
 
     def _piece(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
-        out = self.merges.encode(symbols + END if self.suffix else symbols)
+        out = [t.id for t in self.symbols(symbols)] if self.library else self.merges.encode(symbols + END if self.suffix else symbols)
         return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
@@ -195,9 +199,13 @@ class Bpe:
 
 
 @functools.lru_cache(4)
-def tokenizer(path: str, cache: int = 200_000) -> Bpe:
-    """Loaded once in each worker process; `cache` bounds each generation of the runs whose ids are remembered."""
-    return Bpe(path, cache)
+def tokenizer(path: str, cache: int = 200_000, library: bool = False) -> Bpe:
+    """Loaded once in each worker process; `cache` bounds each generation of the runs whose ids are remembered.
+
+    With `library`, the merges of a run come from the tokenizers library instead of the backtracking encoder; the ids are
+    the same. Operators whose subject is what happens to the ids take it, as it is the faster of the two.
+    """
+    return Bpe(path, cache, library)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
