@@ -48,7 +48,7 @@ def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         df = df.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(queues)).cast("string"))
 
     def run(batches):
-        t, part, before, end = tokenizer(tokenizer_path, 400_000), TaskContext.get().partitionId(), {}, int(end_id).to_bytes(4, "little")
+        t, part, before, end = tokenizer(tokenizer_path, 400_000, True), TaskContext.get().partitionId(), {}, int(end_id).to_bytes(4, "little")
         for b in slices(batches):
             ids = [np.frombuffer(t.encode(x) + end, "<u4").astype("<u2" if t.size <= 1 << 16 else "<u4").tobytes() for x in b.column(1).to_pylist()]
             wide = 2 if t.size <= 1 << 16 else 4
