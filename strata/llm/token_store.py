@@ -37,7 +37,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     ordered = keyed_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches):
-        t, part, before, end = tokenizer(tokenizer_path, 400_000), TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
+        t, part, before, end = tokenizer(tokenizer_path, 400_000, True), TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
         for b in slices(batches):
             if b.num_rows:
                 ids = [t.encode(x) + end for x in b.column(1).to_pylist()]
