@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 M64 = (1 << 64) - 1
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many rows and, where a batch has several, about so many bytes."""
 
     def halves(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

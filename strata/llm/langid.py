@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import held_out, map_rows
+from strata.llm.common import held_out, map_rows, slices
 
 SLOTS = 4096
 PASSAGE = 1536
@@ -142,11 +142,10 @@ def keep_identified(docs: DataFrame, model: Kernel | None, text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                texts = b.column(at).to_pylist()
-                lang, score = predict(texts, model)
-                keep = [(x != "und" and s >= least) if model else bool(t and LETTER.search(t)) for t, x, s in zip(texts, lang, score, strict=True)]
-                yield b.filter(pa.array(keep, pa.bool_()))
+        for b in slices(batches, 500):
+            texts = b.column(at).to_pylist()
+            lang, score = predict(texts, model)
+            keep = [(x != "und" and s >= least) if model else bool(t and LETTER.search(t)) for t, x, s in zip(texts, lang, score, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import held_out, keyed_text, map_rows
+from strata.llm.common import held_out, keyed_text, map_rows, slices
 
 PASSAGE = 1024
 TRIGRAMS = 224
@@ -188,8 +188,7 @@ def keep_good(docs: DataFrame, model: Attention | float, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(scores([t or "" for t in b.column(at).to_pylist()], model) >= threshold))
+        for b in slices(batches, 500):
+            yield b.filter(pa.array(scores([t or "" for t in b.column(at).to_pylist()], model) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

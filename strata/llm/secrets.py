@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import keyed_text, map_rows
+from strata.llm.common import keyed_text, map_rows, slices
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 SCOPE = 240
@@ -129,7 +129,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [t if t is None else redacted(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
