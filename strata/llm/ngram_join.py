@@ -5,11 +5,12 @@
 2. A second pass orders each set from rare to frequent by that table (ties by hash: one order for all) and emits only
    its prefix, n - ceil(0.75 n) + 1 shingles: two sets that link share a shingle of both prefixes.
 3. Rows meet by shingle. Shingles of one class go. The others form buckets, and length and positional filters go over
-   the pairs of a bucket with its anchor, its least class. Each pair is verified once, after a suffix filter, on the
-   exact sets. The links give components.
-4. Buckets whose classes now lie in one component are settled. In the others, each class outside the bucket's largest
-   component meets every class of another component, by a join on the shingle, through the same filters. So every pair
-   that might link two components is verified, and no bucket is expanded into all its pairs.
+   the pairs of a bucket with its anchor, the class with the fewest rare shingles. Each pair is verified once, after a
+   suffix filter, on the exact sets. The links give components.
+4. Buckets whose other classes now lie in one component are settled. In the rest, each class outside the bucket's largest
+   component meets every class of another component, by a join on the shingle, through the same filters and a bound from
+   signatures of the sets. So every pair that might link two components is verified, and no bucket is expanded into all
+   its pairs.
 
 Frequent shingles are known from the table. They skip the shuffle that looks for shingles of one class, and the joins on
 them can be split, so a group of copies that holds a third of all rows loads no single task.
@@ -25,7 +26,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import keyed_text, mix, slices
@@ -34,6 +35,7 @@ from strata.operators.graph_core import connected_components
 from strata.session import written
 
 CELLS = 1 << 18
+SIGNATURE = 16
 RANGES = 16
 #: Jaccard of at least 3/4, in whole numbers: 4 * intersection >= 3 * union.
 UP, DOWN = 3, 4
@@ -158,13 +160,38 @@ def buckets(prefix: DataFrame) -> DataFrame:
 
 
 def filtered(pairs: DataFrame) -> DataFrame:
-    """Length and positional filters over rows (a, na, pa, b, nb, pb) that share a shingle; each pair once, the smaller id first."""
+    """Length and positional filters over rows (a, na, pa, ka, b, nb, pb, kb) that share a shingle; each pair once, the smaller id first.
+
+    pos counts all shingles of a set before the shared one, k only those that other classes hold: the rest can't be shared.
+    """
     need = F.expr(f"({UP} * (na + nb) + {UP + DOWN - 1}) div {UP + DOWN}")
     fits = F.least("na", "nb") >= need
-    reach = F.least("pa", "pb") + 1 + F.least(F.expr("na - pa - 1"), F.expr("nb - pb - 1")) >= need
+    reach = F.least("ka", "kb") + 1 + F.least(F.expr("na - pa - 1"), F.expr("nb - pb - 1")) >= need
     return pairs.where((F.col("a") != F.col("b")) & fits & reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def signatures(texts: DataFrame) -> DataFrame:
+    """id, s0 ... : the parities of a set's shingles over SIGNATURE * 64 cells. Two sets differ in at least as many shingles as parities."""
+
+    def run(batches):
+        for b in slices(batches):
+            owner, key, sizes = shingle_sets(b.column(1).to_pylist())
+            bits = SIGNATURE * 64
+            odd = np.bincount(owner * bits + (mix(key) % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits).reshape(-1, bits) & 1
+            words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SIGNATURE))], names=["id", *(f"s{i}" for i in range(SIGNATURE))])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)))
+
+
+def alike():
+    """Joined rows whose signatures (s0 ... and z0 ...) leave room for a link: the sets may differ in (na + nb) / 7 shingles."""
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("z0")))
+    for i in range(1, SIGNATURE):
+        apart = apart + F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"z{i}")))
+    return apart * (UP + DOWN) <= (F.col("na") + F.col("nb")) * (DOWN - UP)
+
+
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     """At most so many shingles are in both: both are split at the middle of the one, and again, and the smaller part of each side counts."""
     if depth == 0 or not len(x) or not len(y):
@@ -210,25 +237,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = rows.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"))
 
     found = buckets(prefixes(texts, spark.sparkContext.broadcast(counts), hot_from))
-    found = found.join(classes.select("digest", F.col("n").cast("int").alias("n"), "id"), ["digest", "n"]).select("h", "id", "n", "pos").distinct()
-    found = written(found, "buckets")
+    found = found.join(classes.select("digest", F.col("n").cast("int").alias("n"), "id"), ["digest", "n"]).groupBy("digest", "n", "h").agg(F.min("id").alias("id"), F.min("pos").alias("pos"))
+    in_order = Window.partitionBy("digest", "n").orderBy("pos")
+    found = written(found.select("h", "id", "n", "pos", (F.row_number().over(in_order) - 1).alias("k")), "buckets")
     members = written(texts.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
-    anchors = found.groupBy("h").agg(F.min(F.struct("id", "n", "pos")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    anchors = anchors.select("h", F.col("least.id").alias("a"), F.col("least.n").alias("na"), F.col("least.pos").alias("pa"))
-    second = found.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    # the anchor has the fewest rare shingles before the shared one: of a family of edited copies, the least edited
+    anchors = found.groupBy("h").agg(F.min(F.struct("pos", "id", "n", "k")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    anchors = written(anchors.select("h", F.col("least.id").alias("a"), F.col("least.n").alias("na"), F.col("least.pos").alias("pa"), F.col("least.k").alias("ka")), "anchors")
+    second = found.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("k").alias("kb"))
     first_pairs = written(filtered(second.join(anchors, "h")), "pairs")
     links = written(verified(first_pairs, members), "links")
 
-    # what the first links leave open: buckets that still hold several components
+    # what the first links leave open: buckets whose classes besides the anchor lie in several components
     labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
-    labelled = found.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = found.join(anchors.select("h", "a"), "h").where("id <> a").drop("a")
+    labelled = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = labelled.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("h").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    still = written(labelled.join(largest.select("h", F.col("top.component").alias("top")), "h"), "open")
-    minor = still.where("component <> top").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    major = still.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    second_pairs = filtered(minor.join(major, "h").where("ca <> cb")).join(first_pairs, ["a", "b"], "left_anti")
+    still = labelled.join(largest.select("h", F.col("top.component").alias("top")), "h")
+    still = written(still.join(signatures(members), "id"), "open")
+    marks = [f"s{i}" for i in range(SIGNATURE)]
+    minor = still.where("component <> top").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("k").alias("ka"), F.col("component").alias("ca"), *marks)
+    major = still.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("k").alias("kb"), F.col("component").alias("cb"), *(F.col(m).alias(f"z{i}") for i, m in enumerate(marks)))
+    second_pairs = filtered(minor.join(major, "h").where((F.col("ca") != F.col("cb")) & alike())).join(first_pairs, ["a", "b"], "left_anti")
     more = written(verified(written(second_pairs, "pairs"), members), "links")
 
     if more.limit(1).count():
