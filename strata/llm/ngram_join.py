@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import keyed_text, mix, slices
 from strata.llm.shingles import shingle_sets
 from strata.operators.graph_core import connected_components
-from strata.session import written
+from strata.session import discard, written
 
 CELLS = 1 << 18
 SIGNATURE = 16
@@ -261,10 +261,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     minor = still.where("component <> top").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("k").alias("ka"), F.col("component").alias("ca"), *marks)
     major = still.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("k").alias("kb"), F.col("component").alias("cb"), *(F.col(m).alias(f"z{i}") for i, m in enumerate(marks)))
     second_pairs = filtered(minor.join(major, "h").where((F.col("ca") != F.col("cb")) & alike())).join(first_pairs, ["a", "b"], "left_anti")
-    more = written(verified(written(second_pairs, "pairs"), members), "links")
+    open_pairs = written(second_pairs, "pairs")
+    more = written(verified(open_pairs, members), "links")
 
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more), "a", "b").select(F.col("node").alias("id"), "component")
+    discard(found, members, anchors, first_pairs, still, open_pairs)
     linked = classes.join(labels, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component_id"))
     return rows.join(linked, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
