@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import written
+from strata.session import discard, written
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(mark) == state:
             break
         state = tuple(mark)
-        now = written(_small_star(_large_star(now)), "components")
+        before, now = now, written(_small_star(_large_star(now)), "components")
+        discard(before)
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -48,14 +48,17 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Remove a table made by written(), through Hadoop's file system API, so any store works."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by written() that nothing will read again, through Hadoop's file system API, so any store works."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(t._written_path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
