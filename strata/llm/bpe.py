@@ -140,6 +140,7 @@ class Bpe:
         self.runs = re.compile(f"[^{SPACE}]+" if self.words else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.quick = re.compile(r" ?\S+|\s+(?!\S)|\s+")
         self.cache, self.pieces = Bounded(self._chunk, cache), Bounded(self._piece, cache // 3)
+        self.after_space = Bounded(lambda word: self._chunk(" " + word), cache)
         self._offsets({**vocab, **self.special}, bool(spec["decoder"]))
 
     def _offsets(self, vocab: dict[str, int], raw: bool) -> None:
@@ -160,10 +161,10 @@ class Bpe:
         pieces = self.pieces
         word = chunk[1:] if chunk[0] == " " else chunk
         if word.isalpha():  # most runs: letters, perhaps after a space, perhaps with one stop after them
-            return pieces[chunk] if len(chunk) < 40 else self._piece(chunk)
+            return pieces[chunk]
         elif word[:-1].isalpha() and word[-1] in ",.":
             return pieces[chunk[:-1]] + pieces[chunk[-1]]
-        return b"".join([pieces[p] if len(p) < 40 else self._piece(p) for p in self.pattern.findall(chunk)])
+        return b"".join(map(pieces.__getitem__, self.pattern.findall(chunk)))
 
     def _piece(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
@@ -179,11 +180,12 @@ class Bpe:
     def _plain(self, text: str) -> bytes:
         odd = any(c in text for c in SEPARATORS)
         if self.words:
-            chunks = self.runs.findall(text) if odd else text.split()
-        else:
-            chunks = (self.runs if odd else self.quick).findall(text)
-        cache = self.cache
-        return b"".join([cache[c] if len(c) < 60 else self._chunk(c) for c in chunks])
+            return b"".join(map(self.cache.__getitem__, self.runs.findall(text) if odd else text.split()))
+        if odd or "  " in text:
+            return b"".join(map(self.cache.__getitem__, (self.runs if odd else self.quick).findall(text)))
+        # a space that stands alone always begins a run: what lies between two of them is looked up without it
+        first, *rest = text.split(" ")
+        return (self._chunk(first) if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
 
     def decode(self, ids: bytes | np.ndarray, step: int = 200_000) -> str:
         """The text of all ids, special ones included."""

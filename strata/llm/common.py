@@ -58,13 +58,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Bounded(dict):
-    """A cache in two generations of at most `size` entries: d[key] makes what is missing; what is used again outlives a change of generation."""
+    """A cache in two generations of at most `size` entries: d[key] makes what is missing; what is used again outlives a change of generation.
 
-    def __init__(self, make: Callable, size: int = 400_000):
+    Keys of `longest` characters or more are made each time and not kept.
+    """
+
+    def __init__(self, make: Callable, size: int = 400_000, longest: int = 60):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, key):
+        if len(key) >= self.longest:
+            return self.make(key)
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
