@@ -52,6 +52,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     for k in range(words):
         key = key * _STEP
         key[: n - k] += np.where(left[: n - k] > k, h[k:], np.uint64(0x51ED270B))
+        key[n - k :] += np.uint64(0x51ED270B)
     whole = (counts < words) & (counts > 0)
     keep = left >= words
     keep[begin[whole]] = True
