@@ -105,4 +105,22 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT * FROM r WHERE rank <= 20
     """,
+    "op5_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), g AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w
+        ), n AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+        ), l AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b USING (shingle) JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+            WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+        ), c(doc_id, label) USING KEY (doc_id) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT l.y, min(c.label) FROM c JOIN l ON l.x = c.doc_id JOIN recurring.c r ON r.doc_id = l.y WHERE c.label < r.label GROUP BY l.y
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, label AS component_id FROM c LEFT JOIN n USING (doc_id)
+    """,
 }
