@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.config import Frame, Scene
 from strata.operators import graph, grid, layers, regions, route, stencil
+from strata.schema import FORMAT, HEADER
 from strata.session import written
 
 
@@ -28,9 +29,7 @@ class Map:
 
     def header(self) -> DataFrame:
         f = self.frame
-        row = ("tomogram_sparse_v1", [len(self.kept), f.dim_y, f.dim_x], f.resolution, [f.center_x, f.center_y], f.slice_h0, f.slice_dh, self.heights)
-        from strata.schema import HEADER
-
+        row = (FORMAT, [len(self.kept), f.dim_y, f.dim_x], f.resolution, [f.center_x, f.center_y], f.slice_h0, f.slice_dh, self.heights)
         return self.nodes.sparkSession.createDataFrame([row], HEADER)
 
 
@@ -75,7 +74,7 @@ def region_report(m: Map, source: str = "") -> DataFrame:
     large = written(regions.region_stats(cells, m.scene, m.frame), "regions")
     unique = written(regions.deduplicate(large, m.scene.dedup_iou), "regions")
     merged = regions.merge_by_gap(unique, m.scene.merge_gap)
-    listed = merged.agg(F.transform(F.array_sort(F.collect_list(regions.region_struct())), lambda r: r).alias("regions"), F.count(F.lit(1)).alias("output_regions"))
+    listed = merged.agg(F.array_sort(F.collect_list(regions.region_struct())).alias("regions"), F.count(F.lit(1)).alias("output_regions"))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     counts = m.nodes.agg(F.count(F.lit(1)).alias("total_nodes"), F.count_if((F.col("trav") <= m.scene.cost_threshold) | (F.col("gateway") != 0)).alias("active_nodes"))
     counts = counts.crossJoin(cells.agg(F.count_distinct("component").alias("flat_components"))).crossJoin(n(large, "large_components")).crossJoin(n(unique, "regions_after_dedup"))
