@@ -49,9 +49,9 @@ def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
     def run(batches):
         t, part, before, end = tokenizer(tokenizer_path, 400_000, True), TaskContext.get().partitionId(), {}, int(end_id).to_bytes(4, "little")
+        wide = 2 if max(t.size, end_id) < 1 << 16 else 4  # bytes for each id in the written table
         for b in slices(batches):
-            ids = [np.frombuffer(t.encode(x) + end, "<u4").astype("<u2" if t.size <= 1 << 16 else "<u4").tobytes() for x in b.column(1).to_pylist()]
-            wide = 2 if t.size <= 1 << 16 else 4
+            ids = [np.frombuffer(t.encode(x) + end, "<u4").astype(f"<u{wide}").tobytes() for x in b.column(1).to_pylist()]
             start = []
             for q, x in zip(b.column(2).to_pylist(), ids, strict=True):
                 start.append(before.get(q, 0))
