@@ -139,7 +139,8 @@ class Bpe:
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self.runs = re.compile(f"[^{SPACE}]+" if self.words else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.quick = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-        self.cache, self.pieces = Bounded(self._chunk, cache), Bounded(self._piece, cache // 3)
+        # byte-level texts without double spaces, nearly all, use the third of these instead of the first
+        self.cache, self.pieces = Bounded(self._chunk, cache if self.words else cache // 4), Bounded(self._piece, cache // 3)
         self.after_space = Bounded(lambda word: self._chunk(" " + word), cache)
         self._offsets({**vocab, **self.special}, bool(spec["decoder"]))
 
