@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.config import Frame, Scene
 from strata.functions.coords import step_length, traversable
-from strata.operators.graph_core import connected_components
+from strata.operators.graph_core import LOCAL_EDGES, connected_components
 
 HALF = ((0, 1), (1, -1), (1, 0), (1, 1))  # one of each two opposite neighbours
 SQUARE = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1))
@@ -65,7 +65,7 @@ def graph_edges(nodes: DataFrame, scene: Scene, frame: Frame) -> DataFrame:
 
 def component_labels(nodes: DataFrame, scene: Scene) -> DataFrame:
     """node_id, component (its least node_id) of every node; a node without edges is a component of its own."""
-    linked = connected_components(undirected_edges(nodes, scene))
+    linked = connected_components(undirected_edges(nodes, scene), local_limit=LOCAL_EDGES)
     return nodes.select("node_id").join(linked.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 

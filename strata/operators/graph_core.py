@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from strata.session import discard, written
 
+#: Contracted edges (16 bytes each) that the terrain queries leave to one task.
+LOCAL_EDGES = 1_000_000
+
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one partition, a batch at a time: each batch becomes one edge from every node to its least."""
@@ -32,6 +35,13 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[parent[keep]])], names=["u", "v"])
 
 
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same over all batches of the partition at once: only for edges of a counted bound."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        yield from forest(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands the least of its neighbourhood to its larger neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,16 +56,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_limit: int = 0) -> DataFrame:
     """node, component (the least id of the component) for every node that has an edge to another node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) need a number of rounds that grows with the
     logarithm of the component, not with its diameter. Every round is written to the shared folder, so plans stay small
-    and a lost executor costs one round. Before the first round each partition contracts its own edges.
+    and a lost executor costs one round. Before the first round each partition contracts its own edges. If no more than
+    local_limit edges are then left, one task finishes them without rounds.
     """
     u, v = F.col(src).cast("long"), F.col(dst).cast("long")
     start = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v")
     now = written(start.mapInArrow(forest, "u long, v long"), "components")
+    if local_limit and now.count() <= local_limit:
+        before, now = now, written(now.coalesce(1).mapInArrow(_whole_forest, "u long, v long"), "components")
+        discard(before)
+        return _labels(now)
     state = None
     for _ in range(max_rounds):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -66,4 +81,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         discard(before)
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _labels(now)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata.config import Frame, Scene
 from strata.functions.coords import flat_id, node_x, node_y
 from strata.operators.graph import HALF, _moved, _target, active
-from strata.operators.graph_core import connected_components
+from strata.operators.graph_core import LOCAL_EDGES, connected_components
 from strata.operators.stencil import ground_slope
 
 BOX = ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z")
@@ -23,7 +23,7 @@ def flat_components(flat: DataFrame, frame: Frame) -> DataFrame:
     """The flat cells with component: 8-connected within a layer, numbered from 0 by layer and first cell in scan order."""
     n = flat.select("node_id", "layer", "row", "col", "elev_g").withColumn("trav", F.lit(0.0))
     links = _moved(n, HALF).join(_target(n), ["layer", "row", "col"]).select("src", "dst")
-    label = connected_components(links).withColumnRenamed("node", "node_id")
+    label = connected_components(links, local_limit=LOCAL_EDGES).withColumnRenamed("node", "node_id")
     labelled = flat.join(label, "node_id", "left").withColumn("root", F.coalesce("component", "node_id")).drop("component")
     firsts = labelled.groupBy("layer", "root").agg(F.min(flat_id(frame)).alias("first"))
     # numbered within each layer, and layers one after another: no task sees more than a layer's components

@@ -106,9 +106,10 @@ def test_cross_layer_edge_breaks_ties_by_row_and_column(spark):
     assert [tuple(r) for r in graph.cross_layer_edges(n, SCENE).collect()] == [(0, 1)]
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_components_of_a_long_path(spark, limit):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 300)] + [(1000, 2000), (5, 5)], "src long, dst long")
-    got = {r.node: r.component for r in connected_components(edges).collect()}
+    got = {r.node: r.component for r in connected_components(edges, local_limit=limit).collect()}
     assert got == {**dict.fromkeys(range(1, 301), 1), 1000: 1000, 2000: 1000}
 
 
@@ -129,7 +130,8 @@ def test_components_match_union_find(spark):
 
 
 def test_empty_edges(spark):
-    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    none = spark.createDataFrame([], "src long, dst long")
+    assert connected_components(none).count() == connected_components(none, local_limit=9).count() == 0
 
 
 def box(i, n, x0, x1, z0, z1):
