@@ -60,12 +60,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Bounded(dict):
     """A cache in two generations of at most `size` entries: d[key] makes what is missing; what is used again outlives a change of generation.
 
-    Keys of `longest` characters or more are made each time and not kept.
+    A key is kept from its second use on: a bit for each hash tells which were asked for before, so that the many keys of
+    a corpus that occur once don't push out the others. Keys of `longest` characters or more are never kept.
     """
 
+    BITS = 1 << 24
+
     def __init__(self, make: Callable, size: int = 400_000, longest: int = 60):
         super().__init__()
         self.make, self.size, self.longest, self.old = make, size, longest, {}
+        self.asked, self.set_bits = bytearray(self.BITS >> 3), 0
 
     def __missing__(self, key):
         if len(key) >= self.longest:
@@ -73,6 +77,13 @@ class Bounded(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+            at = hash(key) & (self.BITS - 1)
+            if not self.asked[at >> 3] & (1 << (at & 7)):
+                self.asked[at >> 3] |= 1 << (at & 7)
+                self.set_bits += 1
+                if self.set_bits > self.BITS >> 2:
+                    self.asked, self.set_bits = bytearray(self.BITS >> 3), 0
+                return found
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
