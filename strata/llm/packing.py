@@ -1,14 +1,16 @@
 """Mixture-controlled packing (operator 6).
 
 Every source is a queue: the ids of its documents end to end, in the order in which the encoded table was written.
-Deficit round-robin serves the queues. Each round gives a source its share of one window; what it may take but doesn't
-yet, because the piece would be short, stays with it as its deficit. Served pieces are laid end to end and cut every
-2,048 ids, so only the last sequence can need padding.
-
-Windows are gathered in blocks, and the whole schedule is a function of the block number: by the end of block b, queue s
-has been served min(size_s, floor(b * quantum_s)) ids. What rounding leaves over is the deficit that passes to the next
-block. So any task can work out the rounds of any block from the sizes of the queues alone, and deficits cross block and
-partition borders without anyone waiting. By default the target shares are those of the sources themselves, and all
+Deficit round-robin serves the queues. Each round gives every source its share of one window in whole ids; the fraction
+of an id that rounding leaves over stays with it as its deficit. Served pieces are laid end to end and cut every 2,048
+ids, so only the last sequence can need padding.
+
+The whole schedule is a function of the round: by the end of round r, queue s has been served
+min(size_s, floor(r * quantum_s + phase_s)) ids. The phase, a fraction of an id drawn from the name, keeps sources of
+equal shares from being rounded in step. So rounds are as long as windows but for a few ids (at most one for each
+source), and every window holds the target shares as closely. Any task can work out any round from the sizes of the
+queues alone, and deficits cross partition borders without anyone waiting; blocks of rounds are only worked out, and
+remembered, together. By default the target shares are those of the sources themselves, and all
 queues run dry together; with given weights a queue that runs dry leaves its room to the others.
 
 Two passes: encode and write (doc, queue, ids, place within its partition); add the partitions up, then cut. Ids are
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from strata.llm.common import slices
 from strata.session import written
 
 WINDOW = 2048
-BLOCK = 256  # windows
-LEAST = 256  # ids: shorter pieces wait for the next round, unless the block ends
+BLOCK = 256  # rounds
+CELLS = 1 << 22  # rounds of queues that a task remembers
 QUEUES = 1024
 
 
@@ -63,68 +64,69 @@ def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
 
 class Schedule:
-    """Where each id of each queue goes, worked out block by block from the sizes of the queues and their weights."""
+    """Where each id of each queue goes, worked out block by block from the sizes of the queues and their weights.
 
-    def __init__(self, sizes: list[int], weights: list[int], window: int = WINDOW, block: int = BLOCK, least: int = LEAST):
-        self.sizes, self.weights, self.rounds, self.least = sizes, weights, block, least
+    Phases are 32-bit fractions of an id. Pieces under `least` ids wait for a later round of the block.
+    """
+
+    def __init__(self, sizes: list[int], weights: list[int], window: int = WINDOW, block: int = BLOCK, least: int = 1, phases: list[int] | None = None):
+        self.sizes, self.weights, self.window, self.rounds, self.least, self.phases = sizes, weights, window, block, least, phases or [0] * len(sizes)
         self.step, self.whole = window * block, sum(w for w, s in zip(weights, sizes, strict=True) if s)
-        self.rounds_of = functools.lru_cache(64)(self._rounds_of)
+        self.rounds_of = functools.lru_cache(max(2, min(64, CELLS // (block * max(1, len(sizes))))))(self._rounds_of)
 
     def __reduce__(self) -> tuple:
-        return Schedule, (self.sizes, self.weights, self.step // self.rounds, self.rounds, self.least)
+        return Schedule, (self.sizes, self.weights, self.window, self.rounds, self.least, self.phases)
 
     def served(self, queue: int, block: int) -> int:
         """Ids that the queue has been served by the beginning of the block."""
-        return min(self.sizes[queue], self.weights[queue] * block * self.step // self.whole)
+        return min(self.sizes[queue], (self.weights[queue] * block * self.step + (self.phases[queue] * self.whole >> 32)) // self.whole)
 
     def block_of(self, queue: int, at: int) -> int:
         """The block in which the id number `at` of the queue is served."""
-        b = at * self.whole // (self.weights[queue] * self.step)
+        b = max(0, at * self.whole - (self.phases[queue] * self.whole >> 32)) // (self.weights[queue] * self.step)
         while self.served(queue, b + 1) <= at:
             b += 1
         return b
 
-    def _rounds_of(self, block: int) -> list[tuple[list[int], list[int], list[int]]]:
-        """For each queue its pieces in the block: first id within the queue, length, place in the whole output."""
-        first = [self.served(q, block) for q in range(len(self.sizes))]
-        room = [self.served(q, block + 1) - f for q, f in enumerate(first)]
-        at, deficit, taken = sum(first), [0] * len(first), [0] * len(first)
-        pieces: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in first]
-        for r in range(1, self.rounds + 1):
-            for q, all_ in enumerate(room):
-                deficit[q] = all_ * r // self.rounds - taken[q]
-                if deficit[q] and (deficit[q] >= self.least or r == self.rounds):
-                    for column, value in zip(pieces[q], (first[q] + taken[q], deficit[q], at), strict=True):
-                        column.append(value)
-                    taken[q] += deficit[q]
-                    at += deficit[q]
-        return pieces
+    def _rounds_of(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each queue the ids served by the beginning of each round of the block, and of the next block; the place of each round's piece in the whole output."""
+        first = [divmod(w * block * self.step + (p * self.whole >> 32), self.whole) for w, p in zip(self.weights, self.phases, strict=True)]
+        by_round = [divmod(w * self.window, self.whole) for w in self.weights]
+        # only remainders are multiplied by rounds, so 64 bits do
+        (q, r), (dq, dr) = (np.array(x, np.int64).T[:, :, None] for x in (first, by_round))
+        rounds = np.arange(self.rounds + 1)
+        taken = np.minimum(np.array(self.sizes, np.int64)[:, None], q + dq * rounds + (r + dr * rounds) // self.whole)
+        for k in range(1, self.rounds if self.least > 1 else 0):
+            taken[:, k] = np.where(taken[:, k] - taken[:, k - 1] >= self.least, taken[:, k], taken[:, k - 1])
+        lengths = np.diff(taken, axis=1).T
+        places = int(taken[:, 0].sum()) + np.cumsum(lengths).reshape(lengths.shape) - lengths
+        return taken, np.ascontiguousarray(places.T)
 
     def cut(self, queue: int, start: int, n: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
         """Pieces of the ids [start, start + n) of a queue: offset within them, length, sequence, offset there."""
         out = []
         at, end = start, start + n
         while at < end:
-            begins, lengths, places = self.rounds_of(self.block_of(queue, at))[queue]
-            k = bisect_right(begins, at) - 1
-            while at < end and k < len(begins):
-                upto = min(end, begins[k] + lengths[k])
-                place = places[k] + at - begins[k]
+            taken, places = self.rounds_of(self.block_of(queue, at))
+            row = taken[queue]
+            k, last = int(row.searchsorted(at, "right")) - 1, min(int(row.searchsorted(end)), self.rounds)
+            borders = row[k : last + 1].tolist()
+            for begin, upto, place in zip(borders, borders[1:], places[queue, k:last].tolist()):
+                upto, place = min(end, upto), place + at - begin
                 while at < upto:
                     take = min(upto - at, window - place % window)
                     out.append((at - start, take, place // window, place % window))
                     at, place = at + take, place + take
-                k += 1
         return out
 
 
-def cut_pieces(encoded: DataFrame, weights: dict[str, int] | None = None, window: int = WINDOW, block: int = BLOCK, least: int = LEAST, broadcast_rows: int = 100_000) -> DataFrame:
+def cut_pieces(encoded: DataFrame, weights: dict[str, int] | None = None, window: int = WINDOW, block: int = BLOCK, least: int = 1, broadcast_rows: int = 100_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source for each piece; weights: whole numbers by queue, by default the sizes."""
     sums = encoded.groupBy("part", "queue").agg(F.sum("n").alias("size"))
     totals = {r.queue: int(r.size) for r in sums.groupBy("queue").agg(F.sum("size").alias("size")).collect()}  # at most QUEUES rows
     names = sorted(totals)
     number = {q: i for i, q in enumerate(names)}
-    plan = Schedule([totals[q] for q in names], [int(weights.get(q, 0)) or 1 if weights else totals[q] for q in names], window, block, least) if names else None
+    plan = Schedule([totals[q] for q in names], [int(weights.get(q, 0)) or 1 if weights else totals[q] for q in names], window, block, least, [zlib.crc32(q.encode()) for q in names]) if names else None
     base = sums.select("part", "queue", (F.sum("size").over(Window.partitionBy("queue").orderBy("part")) - F.col("size")).alias("base"))
     parts = encoded.agg(F.max("part")).first()[0] or 0
     base = F.broadcast(base) if (parts + 1) * len(names) <= broadcast_rows else base

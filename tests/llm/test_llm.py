@@ -230,6 +230,18 @@ def test_windows_hold_the_target_shares():
             assert abs(plan.served(q, block) - share * block * 2048 * 4) <= 1
 
 
+@pytest.mark.parametrize("weights", [[5] * 20, [19, *[2] * 19], [40, 30, 20, 5, 2, 2, 1]])
+def test_each_window_holds_the_target_shares(weights):
+    sizes = [w * 20_011 for w in weights]
+    plan = packing.Schedule(sizes, sizes, phases=[zlib.crc32(b"source%d" % q) for q in range(len(sizes))])
+    held = np.zeros((-(-sum(sizes) // 2048), len(sizes)), int)
+    for q, size in enumerate(sizes):
+        for _, n, sequence, _ in plan.cut(q, 0, size):
+            held[sequence, q] += n
+    assert (held.sum(1)[:-1] == 2048).all() and held.sum(0).tolist() == sizes
+    assert np.abs(held[:-1] - 2048 * np.array(weights) / sum(weights)).max() <= 8
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_store_gives_back_what_went_in(spark, odd, tmp_path, encoding):
     token_store.write_store(docs(spark, odd), f"{tmp_path}/s", BYTE, 2, encoding=encoding)
