@@ -51,8 +51,9 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     left = np.repeat(begin + counts, counts) - np.arange(n)  # words from here to the end of the text
     for k in range(words):
         key = key * _STEP
-        key[: n - k] += np.where(left[: n - k] > k, h[k:], np.uint64(0x51ED270B))
-        key[n - k :] += np.uint64(0x51ED270B)
+        m = max(n - k, 0)
+        key[:m] += np.where(left[:m] > k, h[k:], np.uint64(0x51ED270B))
+        key[m:] += np.uint64(0x51ED270B)
     whole = (counts < words) & (counts > 0)
     keep = left >= words
     keep[begin[whole]] = True

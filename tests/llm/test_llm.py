@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strata.llm import bpe, compression, langid, ngram_join, packing, quality, queries, secrets, token_store, topk, url_filter
+from strata.llm import bpe, compression, langid, ngram_join, packing, quality, queries, secrets, shingles, token_store, topk, url_filter
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, ids string"
@@ -197,6 +197,14 @@ def test_hot_shingles_lose_no_link(spark, monkeypatch):
     assert got == slow_join(texts)
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_short_texts_hash_alone_as_among_others(n):
+    text = " ".join("abcdef"[:n])
+    owner, key, sizes = shingles.shingle_sets([text])
+    among = shingles.shingle_sets(["some other words " * 4, text, "and more of them after it"])
+    assert key.tolist() == among[1][among[0] == 1].tolist() and sizes.tolist() == [min(n, 1) if n < 5 else n - 4]
+
+
 def ids_of(path, text, end):
     return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
 
