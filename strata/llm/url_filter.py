@@ -5,8 +5,9 @@ and path: the chance of a character after its last 0 to 4 characters, each order
 verdict compares the difference of the two log-likelihoods, divided by the length, with a threshold. The threshold is
 calibrated on a fourth of the ruled urls that trained nothing: it makes the mean error of both kinds least.
 
-The counts cover every ruled url. They are kept in tables of fixed size (n-grams by hash), which each task fills and the
-executors add up; so the model has a proven bound and travels by broadcast.
+The counts cover every ruled url and are exact: a row for each n-gram and each context, whose bytes are the key, so the
+model grows with what the ruled urls hold. It is joined, so no task needs to hold all of it: urls are scored in batches,
+each with the rows of the model that its own n-grams ask for.
 
 Cases: null url, and url without ://, has an empty host and path, fits no rule and scores 0; a url scores 0 where one of
 the two kinds has no url to learn from, and the threshold is then 0; a score equal to the threshold allows; very long
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import held_out, mix, slices
+from strata.llm.common import held_out, slices
+from strata.session import written
 
 ORDERS = 5
-SLOTS = 1 << 15
+BATCH = 11  # bits: urls scored together
 SMOOTH = 2.0
 BINS = 1024
 
@@ -69,46 +71,50 @@ def matched(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> tu
 
 
 def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each order the slot of each character with its context and of the context alone; and the url of each character."""
+    """For each order the key of each character with its context and of the context alone; and the url of each character.
+
+    A key is the order and kind of n-gram above 40 bits, and below them its bytes, the last of the context first.
+    """
     datas = [u.encode("utf-8", "replace") for u in urls]
     pad = bytes(ORDERS - 1)
-    flat = np.frombuffer(b"".join(pad + d for d in datas), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(pad + d for d in datas), np.uint8).astype(np.int64)
     sizes = np.array([len(d) for d in datas], np.int64)
     owner = np.repeat(np.arange(len(datas)), sizes)
     at = np.arange(int(sizes.sum())) + (ORDERS - 1) * (owner + 1)
     joint, context = np.empty((ORDERS, len(at)), np.int64), np.empty((ORDERS, len(at)), np.int64)
-    h = np.zeros(len(at), np.uint64)
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+    before = np.zeros(len(at), np.int64)
     for k in range(ORDERS):
         if k:
-            h = mix(h * np.uint64(257) + flat[at - k] + np.uint64(k))
-        context[k] = (mix(h + np.uint64(1)) >> shift).astype(np.int64)
-        joint[k] = (mix(h * np.uint64(31) + flat[at] + np.uint64(7)) >> shift).astype(np.int64)
+            before = before | flat[at - k] << 8 * (k - 1)
+        context[k] = before | 2 * k << 40
+        joint[k] = before << 8 | flat[at] | 2 * k + 1 << 40
     return joint, context, owner
 
 
+def score(urls: list[str], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean over the characters of log p(allowed) - log p(blocked), from the counts by kind of all n-grams that the urls hold, keys sorted."""
+    joint, context, owner = grams(urls)
+    keys, counts = np.append(keys, np.int64(1) << 62), np.append(counts, np.zeros((2, 1), np.int64), 1)
+
+    def found(x: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(keys, x)
+        return np.where(keys[i] == x, counts[:, i], 0)
+
+    p = np.full((2, joint.shape[1]), 1 / 256)
+    for k in range(ORDERS):
+        p = (found(joint[k]) + SMOOTH * p) / (found(context[k]) + SMOOTH)
+    logs = np.log(p)
+    total = np.bincount(owner, logs[0] - logs[1], len(urls))
+    return total / np.maximum(np.bincount(owner, minlength=len(urls)), 1)
+
+
 @dataclasses.dataclass
 class Ratio:
-    """Counts by kind (allowed, blocked), order and slot: of characters in context, and of contexts."""
+    """key, allowed, blocked: how often urls of either kind hold an n-gram or context. None where one kind has no url to learn from."""
 
-    joint: np.ndarray
-    context: np.ndarray
+    counts: DataFrame | None
     threshold: float = 0.0
 
-    def score(self, urls: list[str]) -> np.ndarray:
-        """Mean over the characters of log p(allowed) - log p(blocked)."""
-        if not len(urls) or not (self.context[:, 0].sum(1) > 0).all():
-            return np.zeros(len(urls))
-        joint, context, owner = grams(urls)
-        logs = []
-        for kind in range(2):
-            p = np.full(joint.shape[1], 1 / 256)
-            for k in range(ORDERS):
-                p = (self.joint[kind, k][joint[k]] + SMOOTH * p) / (self.context[kind, k][context[k]] + SMOOTH)
-            logs.append(np.log(p))
-        total = np.bincount(owner, logs[0] - logs[1], len(urls))
-        return total / np.maximum(np.bincount(owner, minlength=len(urls)), 1)
-
 
 def parsed(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, ruled (allow, block or null)."""
@@ -131,47 +137,49 @@ def train(urls: DataFrame) -> Ratio:
     ruled = urls.where(F.col("ruled").isNotNull()).select("host", "path", (F.col("ruled") == "block").cast("int").alias("kind"), held_out("page_id").alias("fold"))
 
     def count(batches):
-        joint, context = np.zeros((2, ORDERS, SLOTS), np.int64), np.zeros((2, ORDERS, SLOTS), np.int64)
         for b in slices(batches, 5000):
-            text = [h + p for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            j, c, owner = grams(text)
-            kind = b.column(2).to_numpy()[owner]
-            for of in range(2):
-                for k in range(ORDERS):
-                    joint[of, k] += np.bincount(j[k][kind == of], minlength=SLOTS)
-                    context[of, k] += np.bincount(c[k][kind == of], minlength=SLOTS)
-        both = np.concatenate([joint, context]).reshape(-1, SLOTS)
-        yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(len(both)), pa.int32()), "cells": pa.array([x.tobytes() for x in both], pa.binary())})
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for r, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[r] = total.get(r, 0) + np.frombuffer(c, np.int64)
-        for r, c in total.items():
-            yield pa.RecordBatch.from_pydict({"row": pa.array([r], pa.int32()), "cells": pa.array([c.tobytes()], pa.binary())})
-
-    schema = "row int, cells binary"
-    counted = ruled.where("not fold").mapInArrow(count, schema).repartition(4 * ORDERS, "row").mapInArrow(add, schema).collect()
-    both = np.zeros((4 * ORDERS, SLOTS), np.int64)
-    for r in counted:
-        both[r.row] = np.frombuffer(r.cells, np.int64)
-    model = Ratio(*both.reshape(2, 2, ORDERS, SLOTS))
-    model.threshold = calibrated(scored(ruled.where("fold"), model, ["kind"]))
-    return model
+            joint, context, owner = grams([h + p for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+            keys, at = np.unique(np.concatenate([joint, context]), return_inverse=True)
+            blocked = np.bincount(at.ravel(), np.tile(b.column(2).to_numpy()[owner], 2 * ORDERS), len(keys)).astype(np.int64)
+            every = np.bincount(at.ravel(), minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(every - blocked), pa.array(blocked)], names=["key", "allowed", "blocked"])
+
+    counted = ruled.where("not fold").mapInArrow(count, "key long, allowed long, blocked long")
+    counts = written(counted.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "url_grams")
+    if not counts.where("key = 0 and allowed > 0 and blocked > 0").count():  # key 0: the empty context
+        return Ratio(None)
+    return Ratio(counts, calibrated(scored(ruled.where("fold"), Ratio(counts), ["kind"])))
 
 
 def scored(urls: DataFrame, model: Ratio, keep: list[str]) -> DataFrame:
     """The columns to keep, and score."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
     df = urls.select("host", "path", *keep)
+    if model.counts is None:
+        return df.withColumn("score", F.lit(0.0))
+    # written, so that the numbers of the batches are fixed
+    rows = written(df.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), BATCH)), "urls")
 
-    def run(batches):
-        for b in slices(batches, 5000):
-            text = [h + p for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(text))], names=["host", "path", *keep, "score"])
+    def texts(b) -> list[str]:
+        return [h + p for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
 
-    return df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", score double")
+    def needed(batches):
+        for b in slices(batches, 5000):
+            joint, context, owner = grams(texts(b))
+            batch = b.column("batch").to_numpy()
+            for k in np.unique(batch):
+                of = batch[owner] == k
+                keys = np.unique(np.concatenate([joint[:, of], context[:, of]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k)), pa.array(keys)], names=["batch", "key"])
+
+    def judged(mine: pa.Table, grams_: pa.Table) -> pa.Table:
+        keys = grams_.column("key").to_numpy()
+        order = np.argsort(keys)
+        counts = np.array([grams_.column(c).to_numpy()[order] for c in ("allowed", "blocked")])
+        return mine.drop_columns(["batch"]).append_column("score", pa.array(score(texts(mine), keys[order], counts)))
+
+    asked = rows.select("host", "path", "batch").mapInArrow(needed, "batch long, key long").join(model.counts, "key").select("batch", "key", "allowed", "blocked")
+    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", score double"
+    return rows.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(judged, schema)
 
 
 def calibrated(scores: DataFrame) -> float:

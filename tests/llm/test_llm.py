@@ -89,6 +89,37 @@ def test_url_ratio_tells_kinds_apart(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_model_counts_every_ngram(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_"
+    word = lambda: "".join(rng.choices(letters, k=40))
+    urls = [f"http://{word()}.org/{word()}" for _ in range(600)] + [f"http://{word()}.com/de/{word()}" for _ in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    parsed = url_filter.parsed(pages)
+    model = url_filter.train(parsed)
+    want: dict[int, list[int]] = {}
+    text = {r.page_id: (r.host + r.path, r.ruled == "block") for r in parsed.where("ruled is not null").collect() if zlib.crc32(str(r.page_id).encode()) % 4 != 2}
+    plain = collections.Counter((blocked, k, ("\0" * 4 + t)[i + 4 - k : i + 5]) for t, blocked in text.values() for i in range(len(t)) for k in range(5))
+    for (blocked, k, g), n in plain.items():
+        key = (2 * k + 1 << 40) + ord(g[-1]) + sum(ord(c) << 8 * (k - i) for i, c in enumerate(g[:-1]))
+        want.setdefault(key, [0, 0])[blocked] = n
+    got = {r.key: [r.allowed, r.blocked] for r in model.counts.collect() if r.key >> 40 & 1}
+    assert got == want and sum(k >> 40 == 9 for k in got) > 1 << 15
+    for r in url_filter.scored(parsed.limit(3), model, []).collect():
+        t, total = r.host + r.path, 0.0
+        for i in range(len(t)):
+            logs = []
+            for blocked in (False, True):
+                p = 1 / 256
+                for k in range(5):
+                    g = ("\0" * 4 + t)[i + 4 - k : i + 5]
+                    context = sum(plain[blocked, k, g[:-1] + c] for c in letters + "./")
+                    p = (plain[blocked, k, g] + 2 * p) / (context + 2)
+                logs.append(math.log(p))
+            total += logs[0] - logs[1]
+        assert abs(r.score - total / len(t)) < 1e-9
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(300)]
