@@ -9,6 +9,10 @@ products.
 Learning takes a bounded sample: for each language the `per_language` rows of smallest hash that aren't held out, and of
 those `landmarks` as landmarks (documented parameters). Scoring takes whole texts.
 
+A text is unlike every learned language if too few of its n-grams, beyond those that hash there by chance, are found in
+the landmarks of any one language. The share doesn't fall with the length of a text, so short texts stay. The limit is
+calibrated on learned passages that aren't landmarks: STRAY times the share that all but a hundredth of them reach.
+
 Cases: null text, and text without a letter, is `und` with score 0, as is all text if there is nothing to learn from;
 rows with null language aren't learned from; ties go to the language first by name; very long texts are scored in
 passages; repeated rows are scored each by itself; an empty table gives an empty table; other columns take no part.
@@ -31,6 +35,7 @@ PASSAGE = 1536
 PER_LANGUAGE = 200
 LANDMARKS = 32
 RIDGE = 1e-3
+STRAY = 0.6
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -65,12 +70,28 @@ class Kernel:
     landmarks: np.ndarray
     weights: np.ndarray
 
+    owner: np.ndarray  # the language of each landmark
+    least: float = 0.0  # likeness below which a text is in none of the languages
+
     def values(self, texts: list[str]) -> np.ndarray:
         """A value for each text and language, by two matrix products over the passages."""
+        return self.told(texts)[0]
+
+    def told(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The values, and each text's likeness to the language it is most like."""
         phi, first = presence(texts)
-        value = (phi @ self.landmarks.T) @ self.weights
+        kernel = phi @ self.landmarks.T
         sizes = np.diff(np.append(first, len(phi)))
-        return np.add.reduceat(value, first) / sizes[:, None]
+        mean = lambda x: np.add.reduceat(x, first) / sizes[:, None]
+        return mean(kernel @ self.weights), mean(likeness(phi, kernel, self.landmarks, self.owner)).max(1)
+
+
+def likeness(phi: np.ndarray, kernel: np.ndarray, landmarks: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each passage and language the mean share of the passage's n-grams in a landmark, scaled so that chance gives 0 and all of them 1."""
+    held, own = (landmarks > 0).sum(1), np.maximum((phi > 0).sum(1), 1)
+    chance = np.minimum(held / SLOTS, 0.999)
+    share = (kernel * np.sqrt(held) / np.sqrt(own)[:, None] - chance) / (1 - chance)
+    return np.stack([share[:, owner == k].mean(1) for k in range(owner.max() + 1)], 1)
 
 
 def fit(phi: np.ndarray, y: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
@@ -83,7 +104,12 @@ def fit(phi: np.ndarray, y: np.ndarray, languages: list[str], landmarks: int = L
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     k = (marks @ marks.T).astype(float)
     w = np.linalg.solve(c.T @ (weight * c) + len(y) * ridge * k + 1e-6 * np.eye(len(k)), c.T @ (weight * target))
-    return Kernel(languages, marks, w.astype(np.float32))
+    # passages of the sample that are no landmarks; where a language has none, its landmarks stand in
+    spare = np.ones(len(y), bool)
+    spare[chosen] = False
+    spare |= np.bincount(y[spare], minlength=len(languages))[y] == 0
+    like = likeness(phi[spare], c[spare], marks, y[chosen])[np.arange(spare.sum()), y[spare]]
+    return Kernel(languages, marks, w.astype(np.float32), y[chosen], max(0.0, STRAY * float(np.quantile(like, 0.01))))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Kernel | None:
@@ -112,18 +138,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(phi, np.array([languages.index(r[1]) for r in rows]), languages)
 
 
-def predict(texts: list[str | None], model: Kernel | None) -> tuple[list[str], np.ndarray]:
-    """The language and its score, (value + 1) / 2 cut to 0..1, of each text."""
+def told(texts: list[str | None], model: Kernel | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language, its score, (value + 1) / 2 cut to 0..1, and the likeness of each text."""
     spoken = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
-    out, score = ["und"] * len(texts), np.zeros(len(texts))
+    out, score, like = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     for i in range(0, len(spoken), 200):
         part = spoken[i : i + 200]
-        values = model.values([texts[k] for k in part])
+        values, like[part] = model.told([texts[k] for k in part])
         best = values.argmax(1)
         for k, b, v in zip(part, best, values[np.arange(len(best)), best], strict=True):
             out[k] = model.languages[b]
             score[k] = round(float(np.clip((v + 1) / 2, 0, 1)), 6)
-    return out, score
+    return out, score, like
+
+
+def predict(texts: list[str | None], model: Kernel | None) -> tuple[list[str], np.ndarray]:
+    """The language and its score of each text."""
+    return told(texts, model)[:2]
 
 
 def identify(docs: DataFrame, model: Kernel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,14 +169,14 @@ def identify(docs: DataFrame, model: Kernel | None, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: Kernel | None, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, whose language is told with at least that score; without a model, all rows with a letter."""
+    """The rows, with all their columns, whose language is told with at least that score and that are like it; without a model, all rows with a letter."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in slices(batches, 500):
             texts = b.column(at).to_pylist()
-            lang, score = predict(texts, model)
-            keep = [(x != "und" and s >= least) if model else bool(t and LETTER.search(t)) for t, x, s in zip(texts, lang, score, strict=True)]
+            lang, score, like = told(texts, model)
+            keep = [(x != "und" and s >= least and q >= model.least) if model else bool(t and LETTER.search(t)) for t, x, s, q in zip(texts, lang, score, like, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

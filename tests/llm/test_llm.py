@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strata.llm import bpe, compression, langid, ngram_join, packing, quality, queries, secrets, shingles, token_store, topk, url_filter
+from strata.llm.common import held_out
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, ids string"
@@ -381,6 +382,20 @@ def test_language_of_odd_texts(spark):
     assert langid.keep_identified(d, model).count() == 16 and langid.keep_identified(d, None).count() == 16
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    d = spark.read.parquet(sf("sf0.01") + "/documents.parquet")
+    model, rng = langid.train(d), random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = ["我们今天去公园散步然后回家吃饭", "Сегодня мы пошли гулять в парк, а потом вернулись домой", "Σήμερα πήγαμε βόλτα στο πάρκο", "ذهبنا اليوم إلى الحديقة للتنزه"]
+    odd += [base64.b64encode(rng.randbytes(k)).decode() for k in (60, 4000)] + ["".join(rng.choices(letters, k=k)) for k in (80, 4000)]
+    odd += [" ".join("".join(rng.choices(letters, k=7)) for _ in range(400))]
+    assert langid.keep_identified(docs(spark, odd), model).count() == 0
+    clean = ["the weather is nice today", "das wetter ist heute schön", "il fait beau aujourd'hui dans la ville", "hoy hace buen tiempo en la ciudad"]
+    assert langid.keep_identified(docs(spark, clean), model).count() == len(clean)
+    rows = d.where(held_out() & F.col("text").rlike("[a-z]{3}"))
+    assert langid.keep_identified(rows, model).count() >= 0.99 * rows.count()
+
+
 def test_pipeline_equals_its_parts(spark):
     import corpus_pipeline
 
