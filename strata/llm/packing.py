@@ -1,28 +1,29 @@
 """Mixture-controlled packing (operator 6).
 
 Every source is a queue: the ids of its documents end to end, in the order in which the encoded table was written.
-Deficit round-robin serves the queues. Each round gives every source its share of one window in whole ids; the fraction
-of an id that rounding leaves over stays with it as its deficit. Served pieces are laid end to end and cut every 2,048
-ids, so only the last sequence can need padding.
-
-The whole schedule is a function of the round: by the end of round r, queue s has been served
-min(size_s, floor(r * quantum_s + phase_s)) ids. The phase, a fraction of an id drawn from the name, keeps sources of
-equal shares from being rounded in step. So rounds are as long as windows but for a few ids (at most one for each
-source), and every window holds the target shares as closely. Any task can work out any round from the sizes of the
-queues alone, and deficits cross partition borders without anyone waiting; blocks of rounds are only worked out, and
-remembered, together. By default the target shares are those of the sources themselves, and all
-queues run dry together; with given weights a queue that runs dry leaves its room to the others.
+Deficit round-robin serves the queues through a tree: at each node two groups of queues take turns. After p turns the one
+has had floor(p * its share) of them; the fraction that rounding leaves over is its deficit and stays with it, across
+windows and partitions. The turns of a window are laid out source by source, so each source has one piece there.
+
+What a queue has had by any turn, and the turn of any of its ids, follow in closed form from the sizes along its path in
+the tree. So any task can place any document from a few numbers that are joined to it; nobody waits, no task needs to
+know the other queues, and the number of sources is free. In every window a source has its target share to less than one
+id for each level of the tree, and all windows but the last are full.
+
+By default the target shares are those of the sources themselves, and all queues run dry together. With given weights
+the queues run dry one after the other; each time the others share on by their weights, under a tree of their own.
+Sources without a weight follow at the end, in the shares of their sizes.
 
 Two passes: encode and write (doc, queue, ids, place within its partition); add the partitions up, then cut. Ids are
-never shuffled. Sources beyond `queues` are folded into that many queues by hash, so the table of sizes is bounded.
+shuffled only where the table of sums by partition and source is too large to broadcast.
 
 Cases: null text counts as empty and gives one piece with the end id; null source is a queue of its own; texts of any
-length are cut freely; repeated rows are packed each; an empty table gives an empty table; other columns take no part.
+length are cut freely; repeated rows are packed each; an empty table gives an empty table; other columns take no part;
+weights that aren't whole numbers over 0 raise an error.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
@@ -31,28 +32,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from strata.llm.bpe import tokenizer
 from strata.llm.common import slices
-from strata.session import written
+from strata.llm.fast_ids import fast_ids
+from strata.session import discard, written
 
 WINDOW = 2048
-BLOCK = 256  # rounds
-CELLS = 1 << 22  # rounds of queues that a task remembers
-QUEUES = 1024
+NO_SOURCE = "\0none"
 
 
-def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", queues: int = QUEUES) -> DataFrame:
+def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, queue, part, local_start, n, ids (binary): written to the shared folder, so that the order of the queues is fixed."""
     kind = dict(docs.dtypes)[id_col]
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0none")).alias("queue"))
-    if len(df.select("queue").distinct().limit(queues + 1).collect()) > queues:
-        df = df.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(queues)).cast("string"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("queue"))
 
     def run(batches):
-        t, part, before, end = tokenizer(tokenizer_path, 400_000, True), TaskContext.get().partitionId(), {}, int(end_id).to_bytes(4, "little")
+        t, part, before = fast_ids(tokenizer_path), TaskContext.get().partitionId(), {}
         wide = 2 if max(t.size, end_id) < 1 << 16 else 4  # bytes for each id in the written table
+        end = int(end_id).to_bytes(wide, "little")
         for b in slices(batches):
-            ids = [np.frombuffer(t.encode(x) + end, "<u4").astype(f"<u{wide}").tobytes() for x in b.column(1).to_pylist()]
+            ids = [x.astype(f"<u{wide}").tobytes() + end for x in t.encode(b.column(1).to_pylist())]
             start = []
             for q, x in zip(b.column(2).to_pylist(), ids, strict=True):
                 start.append(before.get(q, 0))
@@ -63,87 +61,141 @@ def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     return written(df.mapInArrow(run, f"doc_id {kind}, queue string, part int, local_start long, n long, ids binary"), "packing")
 
 
-class Schedule:
-    """Where each id of each queue goes, worked out block by block from the sizes of the queues and their weights.
+def times(p: np.ndarray, a: np.ndarray, n: np.ndarray, less: int = 0) -> np.ndarray:
+    """floor((p * a - less) / n) for 64-bit numbers whose result is under 2^50: an estimate, set right by a remainder that wraps around."""
+    q = (p * (a / n)).astype(np.int64)
+    return q + (p * a - less - q * n) // n
+
 
-    Phases are 32-bit fractions of an id. Pieces under `least` ids wait for a later round of the block.
+class Lanes:
+    """The ways through the tree of several queues: a row for each queue, a column for each level.
+
+    turns: of the node, share: turns of the child on the way, second: whether it is the second child. A way that is
+    shorter than others goes on through nodes of one child.
     """
 
-    def __init__(self, sizes: list[int], weights: list[int], window: int = WINDOW, block: int = BLOCK, least: int = 1, phases: list[int] | None = None):
-        self.sizes, self.weights, self.window, self.rounds, self.least, self.phases = sizes, weights, window, block, least, phases or [0] * len(sizes)
-        self.step, self.whole = window * block, sum(w for w, s in zip(weights, sizes, strict=True) if s)
-        self.rounds_of = functools.lru_cache(max(2, min(64, CELLS // (block * max(1, len(sizes))))))(self._rounds_of)
-
-    def __reduce__(self) -> tuple:
-        return Schedule, (self.sizes, self.weights, self.window, self.rounds, self.least, self.phases)
-
-    def served(self, queue: int, block: int) -> int:
-        """Ids that the queue has been served by the beginning of the block."""
-        return min(self.sizes[queue], (self.weights[queue] * block * self.step + (self.phases[queue] * self.whole >> 32)) // self.whole)
-
-    def block_of(self, queue: int, at: int) -> int:
-        """The block in which the id number `at` of the queue is served."""
-        b = max(0, at * self.whole - (self.phases[queue] * self.whole >> 32)) // (self.weights[queue] * self.step)
-        while self.served(queue, b + 1) <= at:
-            b += 1
-        return b
-
-    def _rounds_of(self, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each queue the ids served by the beginning of each round of the block, and of the next block; the place of each round's piece in the whole output."""
-        first = [divmod(w * block * self.step + (p * self.whole >> 32), self.whole) for w, p in zip(self.weights, self.phases, strict=True)]
-        by_round = [divmod(w * self.window, self.whole) for w in self.weights]
-        # only remainders are multiplied by rounds, so 64 bits do
-        (q, r), (dq, dr) = (np.array(x, np.int64).T[:, :, None] for x in (first, by_round))
-        rounds = np.arange(self.rounds + 1)
-        taken = np.minimum(np.array(self.sizes, np.int64)[:, None], q + dq * rounds + (r + dr * rounds) // self.whole)
-        for k in range(1, self.rounds if self.least > 1 else 0):
-            taken[:, k] = np.where(taken[:, k] - taken[:, k - 1] >= self.least, taken[:, k], taken[:, k - 1])
-        lengths = np.diff(taken, axis=1).T
-        places = int(taken[:, 0].sum()) + np.cumsum(lengths).reshape(lengths.shape) - lengths
-        return taken, np.ascontiguousarray(places.T)
-
-    def cut(self, queue: int, start: int, n: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-        """Pieces of the ids [start, start + n) of a queue: offset within them, length, sequence, offset there."""
-        out = []
-        at, end = start, start + n
-        while at < end:
-            taken, places = self.rounds_of(self.block_of(queue, at))
-            row = taken[queue]
-            k, last = int(row.searchsorted(at, "right")) - 1, min(int(row.searchsorted(end)), self.rounds)
-            borders = row[k : last + 1].tolist()
-            for begin, upto, place in zip(borders, borders[1:], places[queue, k:last].tolist()):
-                upto, place = min(end, upto), place + at - begin
-                while at < upto:
-                    take = min(upto - at, window - place % window)
-                    out.append((at - start, take, place // window, place % window))
-                    at, place = at + take, place + take
-        return out
-
-
-def cut_pieces(encoded: DataFrame, weights: dict[str, int] | None = None, window: int = WINDOW, block: int = BLOCK, least: int = 1, broadcast_rows: int = 100_000) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source for each piece; weights: whole numbers by queue, by default the sizes."""
+    def __init__(self, turns: list[list[int]], share: list[list[int]], second: list[list[bool]]):
+        depth = max(map(len, turns), default=0)
+        fill = lambda rows, value: np.array([[*r, *[value] * (depth - len(r))] for r in rows], np.int64).reshape(len(rows), depth)
+        self.turns, self.share, self.second = fill(turns, 1), fill(share, 1), fill(second, 0).astype(bool)
+
+    def turn(self, row: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The turn at the root in which id number j of its queue is served."""
+        for d in range(self.turns.shape[1] - 1, -1, -1):
+            n, c, second = self.turns[row, d], self.share[row, d], self.second[row, d]
+            j = np.where(second, times(j, n, c), times(j + 1, n, c, 1))
+        return j
+
+    def had(self, row: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the queue has had after p turns at the root, and what all queues before it in the tree have had."""
+        ahead = np.zeros(len(p), np.int64)
+        for d in range(self.turns.shape[1]):
+            n, c, second = self.turns[row, d], self.share[row, d], self.second[row, d]
+            first = times(p, np.where(second, n - c, c), n)
+            ahead += np.where(second, first, 0)
+            p = np.where(second, p - first, first)
+        return p, ahead
+
+    def cut(self, row: np.ndarray, start: np.ndarray, end: np.ndarray, shift: np.ndarray, total: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+        """Pieces of the ids [start, end) of queues whose turns begin at place `shift`: which range, first id, length, sequence, offset there."""
+        first, last = ((self.turn(row, x) + shift) // window for x in (start, end - 1))
+        spread = last - first + 1 > 4 * (end - start)  # shares so small that it is less to look at each id
+        windows = np.where(spread, 0, last - first + 1)
+        at = np.repeat(np.arange(len(row)), windows)
+        sequence = first[at] + np.arange(len(at)) - (np.cumsum(windows) - windows)[at]
+        if spread.any():
+            ids = np.where(spread, end - start, 0)
+            of = np.repeat(np.arange(len(row)), ids)
+            j = start[of] + np.arange(len(of)) - (np.cumsum(ids) - ids)[of]
+            w = (self.turn(row[of], j) + shift[of]) // window
+            new = np.ones(len(of), bool)
+            new[1:] = (w[1:] != w[:-1]) | (of[1:] != of[:-1])
+            at, sequence = np.append(at, of[new]), np.append(sequence, w[new])
+        upto = lambda w: np.clip(w * window - shift[at], 0, total[at])
+        low, ahead = self.had(row[at], upto(sequence))
+        high, ahead_then = self.had(row[at], upto(sequence + 1))
+        a, b = np.maximum(low, start[at]), np.minimum(high, end[at])
+        offset = np.maximum(sequence * window, shift[at]) - sequence * window + ahead_then - ahead + a - low
+        keep = b > a
+        return at[keep], a[keep], (b - a)[keep], sequence[keep], offset[keep]
+
+
+def phases(sizes: dict[str, int], weights: dict[str, int]) -> list[tuple[int, str, int, int]]:
+    """(phase, queue, first id, number of ids): in each phase all queues that still have ids are served by their weights, until one runs dry."""
+    if bad := [k for k, w in weights.items() if not isinstance(w, int) or w < 1]:
+        raise ValueError(f"weights must be whole numbers over 0: {bad}")
+    out, had, rounds = [], dict.fromkeys(sizes, 0), sorted({-(-s // weights[q]) for q, s in sizes.items()})
+    for k, r in enumerate(rounds):
+        for q, s in sizes.items():
+            upto = min(s, r * weights[q])
+            if upto > had[q]:
+                out.append((k, q, had[q], upto - had[q]))
+                had[q] = upto
+    return out
+
+
+def lanes(served: DataFrame) -> DataFrame:
+    """Of (phase, queue, first, size): with shift, total, and turns, share, second, the queue's way through the tree of its phase.
+
+    The tree splits queues by the bits of a hash of their names, so it is made by grouping. Nodes with one child are left out.
+    """
+    served = written(served.withColumn("h", F.xxhash64("queue")), "queues")
+    if served.groupBy("phase", "h").count().where("count > 1").limit(1).count():
+        raise ValueError("two sources have the same 64-bit hash")
+    totals = served.groupBy("phase").agg(F.sum("size").alias("total"))
+    totals = totals.select("phase", "total", (F.sum("total").over(Window.orderBy("phase")) - F.col("total")).alias("shift"))
+    prefix = F.when(F.col("d") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(h, 64 - d)"))
+    marked = served.select("phase", "queue", "h", "size", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("d")).withColumn("prefix", prefix)
+    nodes = marked.groupBy("phase", "d", "prefix").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("queues"))
+    sizes = marked.join(nodes, ["phase", "d", "prefix"]).select("phase", "queue", "h", "d", "n", "queues")
+    steps = sizes.groupBy("phase", "queue").agg(F.sort_array(F.collect_list(F.struct("d", "n", "queues", "h"))).alias("s"))
+    # a level counts where the child holds fewer queues than its node
+    step = "struct(x.n AS turns, s[i + 1].n AS share, x.queues > s[i + 1].queues AS splits, (shiftrightunsigned(x.h, 63 - x.d) & 1) = 1 AS second)"
+    levels = F.expr(f"filter(transform(slice(s, 1, 64), (x, i) -> {step}), x -> x.splits)")
+    ways = steps.select("phase", "queue", levels.alias("l")).select("phase", "queue", *(F.col(f"l.{k}").alias(k) for k in ("turns", "share", "second")))
+    out = written(served.drop("h").join(ways, ["phase", "queue"]).join(totals, "phase"), "lanes")
+    discard(served)
+    return out
+
+
+def cut_pieces(encoded: DataFrame, weights: dict[str, int] | None = None, window: int = WINDOW, broadcast_rows: int = 100_000) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue for each piece; weights: whole numbers by source, by default the sizes."""
+    spark = encoded.sparkSession
     sums = encoded.groupBy("part", "queue").agg(F.sum("n").alias("size"))
-    totals = {r.queue: int(r.size) for r in sums.groupBy("queue").agg(F.sum("size").alias("size")).collect()}  # at most QUEUES rows
-    names = sorted(totals)
-    number = {q: i for i, q in enumerate(names)}
-    plan = Schedule([totals[q] for q in names], [int(weights.get(q, 0)) or 1 if weights else totals[q] for q in names], window, block, least, [zlib.crc32(q.encode()) for q in names]) if names else None
-    base = sums.select("part", "queue", (F.sum("size").over(Window.partitionBy("queue").orderBy("part")) - F.col("size")).alias("base"))
-    parts = encoded.agg(F.max("part")).first()[0] or 0
-    base = F.broadcast(base) if (parts + 1) * len(names) <= broadcast_rows else base
-    df = encoded.join(base, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("local_start")).alias("start"), "n", "ids")
+    totals = sums.groupBy("queue").agg(F.sum("size").alias("size"))
+    if weights is None:
+        served = totals.select(F.lit(0).alias("phase"), "queue", F.lit(0).cast("long").alias("first"), "size")
+    else:  # at most as many rows as there are weights come to the driver
+        known = {NO_SOURCE if q is None else q: w for q, w in weights.items()}
+        named = F.col("queue").isin(list(known))
+        first = phases({r.queue: r.size for r in totals.where(named).collect()}, known)
+        served = spark.createDataFrame(first, "phase int, queue string, first long, size long")
+        served = served.unionByName(totals.where(~named).select(F.lit(len(first)).alias("phase"), "queue", F.lit(0).cast("long").alias("first"), "size"))
+    base = sums.select("part", "queue", (F.sum("size").over(Window.partitionBy("queue").orderBy("part")) - F.col("size")).alias("base")).join(lanes(served), "queue")
+    base = F.broadcast(base) if base.select("part").limit(broadcast_rows + 1).count() <= broadcast_rows else base
+    at = F.col("base") + F.col("local_start") - F.col("first")
+    df = encoded.join(base, ["part", "queue"]).withColumns({"begin": F.greatest(at, F.lit(0)), "end": F.least(at + F.col("n"), F.col("size")), "own": F.greatest(-at, F.lit(0))})
+    df = df.where("begin < end").select("doc_id", "queue", "ids", "n", "begin", "end", "own", "phase", "shift", "total", "turns", "share", "second")
     kind = dict(encoded.dtypes)["doc_id"]
 
     def run(batches):
         for b in slices(batches, 500):
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for i, (queue, start, n, ids) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True)):
-                data = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                for own, take, sequence, offset in plan.cut(number[queue], start, n, window):
-                    for column, value in zip(out, (i, own, take, zlib.crc32(data[4 * own : 4 * (own + take)]), n, sequence, offset), strict=True):
-                        column.append(value)
-            at = pa.array(out[0], pa.int32())
-            names_ = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(x, pa.int64()) for x in out[1:]), b.column(1).take(at)], names=names_)
+            seen: dict[tuple, int] = {}
+            row, ways = [], []
+            for i, key in enumerate(zip(b.column(7).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if key not in seen:
+                    seen[key] = len(ways)
+                    ways.append([b.column(k)[i].as_py() for k in (10, 11, 12)])
+                row.append(seen[key])
+            n, begin, end, own, shift, total = (b.column(k).to_numpy() for k in (3, 4, 5, 6, 8, 9))
+            doc, first, length, sequence, offset = Lanes(*zip(*ways, strict=True)).cut(np.array(row), begin, end, shift, total, window)
+            start = first - begin[doc] + own[doc]
+            whole = [np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4").astype("<u4").data for x, k in zip(b.column(2).to_pylist(), n.tolist(), strict=True)]
+            crc = [zlib.crc32(whole[d][s : s + k]) for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[doc], sequence, offset)), b.column(1).take(pa.array(doc))],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
+            )
 
     return df.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
 
