@@ -1,7 +1,7 @@
 """N-gram Jaccard join (operator 5): documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
 1. One pass over the texts gives each document's set size and a digest of its set; equal sets form a class, and only
-   classes go on. The same pass counts shingles into a table of fixed size.
+   classes go on. The same pass counts all shingles into a table whose size follows the input, up to a bound.
 2. A second pass orders each set from rare to frequent by that table (ties by hash: one order for all) and emits only
    its prefix, n - ceil(0.75 n) + 1 shingles: two sets that link share a shingle of both prefixes.
 3. Rows meet by shingle. Shingles of one class go. The others form buckets, and length and positional filters go over
@@ -15,9 +15,16 @@
 Frequent shingles are known from the table. They skip the shuffle that looks for shingles of one class, and the joins on
 them can be split, so a group of copies that holds a third of all rows loads no single task.
 
+Keys that many rows share are dealt out: copies reach the answer by a broadcast of the classes with many rows, whose
+number is bounded by the rows of a class; empty sets go around all joins; large open buckets are met in blocks.
+
+Sets are compared by 64-bit hashes of their shingles, and a class is told by a 64-bit digest with the size of its set:
+the join is exact up to a collision of those.
+
 Cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer than five words are
-one shingle; texts of any length are taken whole; rows that repeat a doc_id share its set's class; an empty table gives
-an empty table; other columns take no part. Rows with a null id are dropped by the join, as no result can name them.
+one shingle; texts of any length are taken whole; rows that repeat a doc_id are each judged by their own text; an empty
+table gives an empty table; other columns take no part. Rows with a null id link others, but jaccard_join gives no row
+for them, as no result could name them; keep_one treats them like any other, as the last choice of a component.
 """
 
 from __future__ import annotations
@@ -28,15 +35,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from strata.llm.common import keyed_text, mix, slices
 from strata.llm.shingles import shingle_sets
 from strata.operators.graph_core import connected_components
 from strata.session import discard, written
 
-CELLS = 1 << 18
+CELLS = 1 << 18, 1 << 22
+BYTES_A_CELL = 256
 SIGNATURE = 16
 RANGES = 16
+HOT_CLASS = 50_000  # rows of a class that is joined by broadcast
+BLOCK = 4096  # classes of an open bucket that meet the others at once
+LOCAL_EDGES = 1_000_000  # contracted links, of 16 bytes, that one task finishes
 #: Jaccard of at least 3/4, in whole numbers: 4 * intersection >= 3 * union.
 UP, DOWN = 3, 4
 
@@ -46,8 +58,14 @@ def least_overlap(a, b):
     return (UP * (a + b) + UP + DOWN - 1) // (UP + DOWN)
 
 
-def cell(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(46)).astype(np.int64)
+def cells_for(docs: DataFrame) -> int:
+    """Cells of the counting table: a power of two that grows with the input, up to 16 MB of counts; beyond, a cell holds more shingles."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(CELLS[0], 1 << (size // BYTES_A_CELL).bit_length()), CELLS[1])
+
+
+def cell(key: np.ndarray, cells: int) -> np.ndarray:
+    return (key >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
 def digests(owner: np.ndarray, key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -59,26 +77,28 @@ def digests(owner: np.ndarray, key: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return mix(total + sizes.astype(np.uint64)).view(np.int64)
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest of every document; besides, rows with the counts of each task (cells, by range), told by doc_id null."""
+def profile(texts: DataFrame, cells: int) -> DataFrame:
+    """row, doc_id, th, n, digest of every document; besides, rows with the counts of each task (by range), told by row null."""
 
     def run(batches):
-        counts = np.zeros(CELLS, np.uint32)
+        counts, row = np.zeros(cells, np.uint32), TaskContext.get().partitionId() << 33
         for b in slices(batches):
             owner, key, sizes = shingle_sets(b.column(1).to_pylist())
-            counts += np.bincount(cell(key), minlength=CELLS).astype(np.uint32)
+            counts += np.bincount(cell(key, cells), minlength=cells).astype(np.uint32)
             none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(digests(owner, key, sizes)), *none], names=names)
+            numbers = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([numbers, b.column(0), b.column(2), pa.array(sizes), pa.array(digests(owner, key, sizes)), *none], names=names)
         if counts.any():
-            none = (pa.nulls(RANGES, pa.int64()),) * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(RANGES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(RANGES, -1)])], names=names)
+            none = (pa.nulls(RANGES, pa.int64()),) * 5
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(RANGES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(RANGES, -1)], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "digest", "range", "cells"]
-    return docs.mapInArrow(run, "doc_id long, n long, digest long, range int, cells binary")
+    names = ["row", "doc_id", "th", "n", "digest", "range", "cells"]
+    return texts.select("doc_id", "text", "th").mapInArrow(run, "row long, doc_id long, th long, n long, digest long, range int, cells binary")
 
 
-def frequencies(profiled: DataFrame) -> np.ndarray:
-    """The table of counts over all documents: a fixed number of cells, added up by ranges on the executors."""
+def frequencies(profiled: DataFrame, cells: int) -> np.ndarray:
+    """The table of counts over all documents, added up by ranges on the executors: at most CELLS numbers."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -89,7 +109,7 @@ def frequencies(profiled: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "cells": pa.array([np.minimum(c, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()])})
 
     parts = profiled.where(F.col("range").isNotNull()).select("range", "cells").repartition(RANGES, "range").mapInArrow(add, "range int, cells binary").collect()
-    out = np.zeros((RANGES, CELLS // RANGES), np.uint32)
+    out = np.zeros((RANGES, cells // RANGES), np.uint32)
     for r in parts:
         out[r.range] = np.frombuffer(r.cells, np.uint32)
     return out.reshape(-1)
@@ -111,7 +131,7 @@ def prefixes(docs: DataFrame, counts, hot_from: int) -> DataFrame:
                     seen.add(d)
             if len(seen) > 500_000:
                 seen.clear()
-            often = table[cell(key)].astype(np.uint64)
+            often = table[cell(key, len(table))].astype(np.uint64)
             order = np.lexsort((often, owner))  # stable: ties stay in order of the hash
             owner, key, often = owner[order], key[order], often[order]
             pos = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -121,7 +141,7 @@ def prefixes(docs: DataFrame, counts, hot_from: int) -> DataFrame:
                 [pa.array(key[keep].view(np.int64)), pa.array(digest[owner[keep]]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(often[keep] >= hot_from)], names=["h", "digest", "n", "pos", "hot"]
             )
 
-    return docs.mapInArrow(run, "h long, digest long, n int, pos int, hot boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, digest long, n int, pos int, hot boolean")
 
 
 def shared_rows(batches):
@@ -181,7 +201,7 @@ def signatures(texts: DataFrame) -> DataFrame:
             words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SIGNATURE))], names=["id", *(f"s{i}" for i in range(SIGNATURE))])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)))
+    return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)))
 
 
 def alike():
@@ -203,13 +223,13 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose exact sets link."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         @functools.lru_cache(256)
-        def the_set(doc: int, text: str) -> np.ndarray:
+        def the_set(id_: int, text: str) -> np.ndarray:
             return shingle_sets([text])[1]
 
         for batch in slices(batches, 500):
@@ -223,24 +243,29 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, th, n, least for every row; th: hash of the text; least: (no id, doc_id, th) of the first row of its component, null where the set is empty."""
     spark = docs.sparkSession
-    texts = keyed_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    profiled = written(profile(texts), "profile")
-    counts = frequencies(profiled)
+    texts = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    cells = cells_for(texts)
+    profiled = written(profile(texts, cells), "profile")
+    counts = frequencies(profiled, cells)
     total = int(counts.sum(dtype=np.uint64))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a shingle is hot if it may fill a sixteenth of a partition, and stands out from what chance gives a cell
-    hot_from = max(1000, 4 * total // CELLS, total // (16 * parts))
-    rows = profiled.where(F.col("range").isNull()).select("doc_id", "n", "digest")
-    classes = rows.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"))
+    hot_from = max(1000, 4 * total // cells, total // (16 * parts))
+    rows = profiled.where(F.col("range").isNull()).select("row", "doc_id", "th", "n", "digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    classes = written(rows.where("n > 0").groupBy("digest", "n").agg(F.min(F.struct("row", "doc_id", "th")).alias("one"), first.alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
 
     found = buckets(prefixes(texts, spark.sparkContext.broadcast(counts), hot_from))
-    found = found.join(classes.select("digest", F.col("n").cast("int").alias("n"), "id"), ["digest", "n"]).groupBy("digest", "n", "h").agg(F.min("id").alias("id"), F.min("pos").alias("pos"))
+    found = found.join(classes.select("digest", F.col("n").cast("int").alias("n"), F.col("one.row").alias("id")), ["digest", "n"]).groupBy("digest", "n", "h").agg(F.min("id").alias("id"), F.min("pos").alias("pos"))
     in_order = Window.partitionBy("digest", "n").orderBy("pos")
     found = written(found.select("h", "id", "n", "pos", (F.row_number().over(in_order) - 1).alias("k")), "buckets")
-    members = written(texts.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    # the text of one row of each class that shares a shingle; rows with the same id and hash of the text are the same text
+    asked = classes.select(F.col("one.row").alias("id"), F.coalesce("one.doc_id", F.lit(0)).alias("key"), F.col("one.th").alias("th")).join(found.select("id").distinct(), "id", "left_semi")
+    members = texts.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "th", "text").join(asked, ["key", "th"])
+    members = written(members.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
     # the anchor has the fewest rare shingles before the shared one: of a family of edited copies, the least edited
     anchors = found.groupBy("h").agg(F.min(F.struct("pos", "id", "n", "k")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -250,29 +275,60 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = written(verified(first_pairs, members), "links")
 
     # what the first links leave open: buckets whose classes besides the anchor lie in several components
-    labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
+    labels = connected_components(links, "a", "b", local_limit=LOCAL_EDGES).select(F.col("node").alias("id"), "component")
     rest = found.join(anchors.select("h", "a"), "h").where("id <> a").drop("a")
     labelled = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = labelled.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("h").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    still = labelled.join(largest.select("h", F.col("top.component").alias("top")), "h")
+    largest = sizes.groupBy("h").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several"), F.sum("size").alias("all")).where("several > 1")
+    blocks = (F.col("all") / BLOCK).cast("int") + 1
+    still = labelled.join(largest.select("h", F.col("top.component").alias("top"), blocks.alias("blocks")), "h")
     still = written(still.join(signatures(members), "id"), "open")
     marks = [f"s{i}" for i in range(SIGNATURE)]
-    minor = still.where("component <> top").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("k").alias("ka"), F.col("component").alias("ca"), *marks)
-    major = still.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("k").alias("kb"), F.col("component").alias("cb"), *(F.col(m).alias(f"z{i}") for i, m in enumerate(marks)))
-    second_pairs = filtered(minor.join(major, "h").where((F.col("ca") != F.col("cb")) & alike())).join(first_pairs, ["a", "b"], "left_anti")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+    minor = still.where("component <> top").select("h", block, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("k").alias("ka"), F.col("component").alias("ca"), *marks)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block")
+    major = still.select("h", every, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("k").alias("kb"), F.col("component").alias("cb"), *(F.col(m).alias(f"z{i}") for i, m in enumerate(marks)))
+    second_pairs = filtered(minor.join(major, ["h", "block"]).where((F.col("ca") != F.col("cb")) & alike())).join(first_pairs, ["a", "b"], "left_anti")
     open_pairs = written(second_pairs, "pairs")
     more = written(verified(open_pairs, members), "links")
 
     if more.limit(1).count():
-        labels = connected_components(links.unionByName(more), "a", "b").select(F.col("node").alias("id"), "component")
+        labels = connected_components(links.unionByName(more), "a", "b", local_limit=LOCAL_EDGES).select(F.col("node").alias("id"), "component")
     discard(found, members, anchors, first_pairs, still, open_pairs)
-    linked = classes.join(labels, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(linked, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = classes.select("digest", "n", F.col("one.row").alias("id"), "least", "copies").join(labels, "id", "left")
+    alone, joined = linked.where("component is null"), linked.where("component is not null")
+    heads = joined.groupBy("component").agg(F.min("least").alias("least"))
+    joined = joined.drop("least").join(heads, "component")
+    named = written(alone.unionByName(joined, allowMissingColumns=True).select("digest", "n", "least", "copies"), "components")
+    # classes of many rows are few, at most one for HOT_CLASS rows
+    hot = F.broadcast(named.where(F.col("copies") >= HOT_CLASS).select("digest", "n", F.col("least").alias("often")))
+    full = rows.where("n > 0").join(hot, ["digest", "n"], "left")
+    rest = full.where("often is null").drop("often").join(named.where(F.col("copies") < HOT_CLASS).select("digest", "n", "least"), ["digest", "n"])
+    many = full.where("often is not null").withColumnRenamed("often", "least")
+    none = rows.where("n = 0").withColumn("least", F.lit(None).cast(dict(named.dtypes)["least"]))
+    return none.unionByName(rest).unionByName(many).drop("digest")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row with an id."""
+    rows = components(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the least id of each component; rows with a null id, or a repeated one, stay as they are."""
-    joined = jaccard_join(docs, id_col, text_col)
-    gone = joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One row, with all its columns, of each component: the one of least id, then of least hash of its text. Rows with an empty set all stay."""
+    rows = components(docs, id_col, text_col).where("n > 0").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("mine"), "least")
+    told = written(rows.groupBy("mine").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("times")), "told")
+    mine, names = "_mine", docs.columns
+    while mine in names:
+        mine += "_"
+    number = F.col(id_col).cast("long")
+    marked = docs.withColumn(mine, F.struct(number.isNull().alias("none"), number.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")))
+    key = lambda where: told.where(where).select(F.col("mine").alias(mine))
+    again = "mine = least and times > 1"
+    if not told.where(again).limit(1).count():
+        return marked.join(key("mine <> least"), mine, "left_anti").select(names)
+    # the same id and text several times: one of the rows, whichever comes first
+    single = marked.join(key(f"mine <> least or {again}"), mine, "left_anti").select(names)
+    several = marked.join(key(again), mine, "left_semi").withColumn(mine, F.row_number().over(Window.partitionBy(mine).orderBy(F.lit(1))))
+    return single.unionByName(several.where(F.col(mine) == 1).select(names))

@@ -239,6 +239,35 @@ def test_join_keeps_one_and_takes_empty_tables(spark):
     assert ngram_join.jaccard_join(docs(spark, [])).count() == 0
 
 
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None, "x", "y") for i, t in rows], DOCS)
+
+
+def test_join_judges_repeated_ids_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(rows_of(spark, [(1, a), (1, b), (2, b + " bx"), (3, c)])).collect())
+    assert got == [(1, 26, 1), (1, 26, 1), (2, 27, 1), (3, 26, 3)]
+    kept = ngram_join.keep_one(rows_of(spark, [(1, a), (1, b), (2, b), (3, a), (4, c), (3, c)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b), (3, c)]
+    kept = ngram_join.keep_one(rows_of(spark, [(7, a)] * 3 + [(None, b)] * 2 + [(None, a), (9, ""), (9, ""), (None, None)])).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, b), (7, a), (9, ""), (9, "")]
+
+
+def test_join_of_hot_classes_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_CLASS", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "LOCAL_EDGES", 0)
+    texts = families(3, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(docs(spark, texts)).collect()}
+    assert got == slow_join(texts)
+
+
+def test_join_takes_very_long_texts(spark):
+    long = " ".join(f"w{i % 70_001}" for i in range(120_000))
+    texts = [long, long + " end", "short text of five words", long[: len(long) // 2]]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(docs(spark, texts)).collect()} == slow_join(texts)
+
+
 def test_hot_shingles_lose_no_link(spark, monkeypatch):
     texts = families(7, 60)
     real = ngram_join.prefixes
