@@ -29,8 +29,6 @@ for them, as no result could name them; keep_one treats them like any other, as
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from strata.llm.common import keyed_text, mix, slices
-from strata.llm.shingles import shingle_sets
+from strata.llm.shingles import shingle_sets, sort_each
 from strata.operators.graph_core import connected_components
 from strata.session import discard, written
 
@@ -83,8 +81,8 @@ def profile(texts: DataFrame, cells: int) -> DataFrame:
     def run(batches):
         counts, row = np.zeros(cells, np.uint32), TaskContext.get().partitionId() << 33
         for b in slices(batches):
-            owner, key, sizes = shingle_sets(b.column(1).to_pylist())
-            counts += np.bincount(cell(key, cells), minlength=cells).astype(np.uint32)
+            owner, key, sizes = shingle_sets(b.column(1))
+            np.add.at(counts, cell(key, cells), np.uint32(1))
             none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
             numbers = pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
@@ -115,6 +113,16 @@ def frequencies(profiled: DataFrame, cells: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def level(often: np.ndarray) -> np.ndarray:
+    """Counts in eighths of a doubling: 8 bits that grow with the count."""
+    return (np.log2(np.maximum(often, 1)) * 7.9).astype(np.uint64)
+
+
+def in_order(key: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles by names whose order is from rare to frequent, one order for all: the level of the count, then 56 bits of the hash."""
+    return level(often) << np.uint64(56) | key >> np.uint64(8)
+
+
 def prefixes(docs: DataFrame, counts, hot_from: int) -> DataFrame:
     """h, digest, n, pos, hot: the rare-first prefix of every distinct set that the task meets."""
 
@@ -122,7 +130,7 @@ def prefixes(docs: DataFrame, counts, hot_from: int) -> DataFrame:
         seen: set[int] = set()
         table = counts.value
         for b in slices(batches):
-            owner, key, sizes = shingle_sets(b.column(1).to_pylist())
+            owner, key, sizes = shingle_sets(b.column(1))
             digest = digests(owner, key, sizes)
             fresh = np.zeros(len(sizes), bool)
             for i, d in enumerate(digest.tolist()):
@@ -131,16 +139,15 @@ def prefixes(docs: DataFrame, counts, hot_from: int) -> DataFrame:
                     seen.add(d)
             if len(seen) > 500_000:
                 seen.clear()
-            often = table[cell(key, len(table))].astype(np.uint64)
-            order = np.lexsort((often, owner))  # stable: ties stay in order of the hash
-            owner, key, often = owner[order], key[order], often[order]
-            pos = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key, owner, sizes = key[fresh[owner]], owner[fresh[owner]], np.where(fresh, sizes, 0)
+            h = sort_each(in_order(key, table[cell(key, len(table))]), sizes)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             n = sizes[owner]
-            keep = (pos < n - (UP * n + DOWN - 1) // DOWN + 1) & fresh[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[keep].view(np.int64)), pa.array(digest[owner[keep]]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(often[keep] >= hot_from)], names=["h", "digest", "n", "pos", "hot"]
-            )
+            keep = pos < n - (UP * n + DOWN - 1) // DOWN + 1
+            h, owner = h[keep], owner[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest[owner]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(h >= hot)], names=["h", "digest", "n", "pos", "hot"])
 
+    hot = level(np.array([hot_from], np.uint32))[0] << np.uint64(56)
     return docs.select("doc_id", "text").mapInArrow(run, "h long, digest long, n int, pos int, hot boolean")
 
 
@@ -195,7 +202,7 @@ def signatures(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            owner, key, sizes = shingle_sets(b.column(1).to_pylist())
+            owner, key, sizes = shingle_sets(b.column(1))
             bits = SIGNATURE * 64
             odd = np.bincount(owner * bits + (mix(key) % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits).reshape(-1, bits) & 1
             words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
@@ -228,16 +235,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
-        @functools.lru_cache(256)
-        def the_set(id_: int, text: str) -> np.ndarray:
-            return shingle_sets([text])[1]
-
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 500, 8 << 20):
+            texts: dict[int, str] = {}
+            sides = [batch.column(k).to_pylist() for k in (0, 1)]
+            for side, k in zip(sides, (2, 3), strict=True):
+                column = batch.column(k)
+                for row, i in enumerate(side):
+                    if i not in texts:
+                        texts[i] = column[row].as_py()
+            owner, key, sizes = shingle_sets(list(texts.values()))
+            ends = np.cumsum(sizes)
+            sets = {i: key[e - n : e] for i, e, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True)}
             keep = []
-            for i, j, s, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = the_set(i, s), the_set(j, t)
+            for i, j in zip(*sides, strict=True):
+                x, y = sorted((sets[i], sets[j]), key=len)
                 need = least_overlap(len(x), len(y))
-                keep.append(bool(suffix_bound(x, y) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need))
+                keep.append(bool(suffix_bound(x, y) >= need and np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) >= need))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -282,7 +295,8 @@ def components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     largest = sizes.groupBy("h").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several"), F.sum("size").alias("all")).where("several > 1")
     blocks = (F.col("all") / BLOCK).cast("int") + 1
     still = labelled.join(largest.select("h", F.col("top.component").alias("top"), blocks.alias("blocks")), "h")
-    still = written(still.join(signatures(members), "id"), "open")
+    unmarked = written(still, "open")
+    still = written(unmarked.join(signatures(members.join(unmarked.select("id").distinct(), "id", "left_semi")), "id"), "open")
     marks = [f"s{i}" for i in range(SIGNATURE)]
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
     minor = still.where("component <> top").select("h", block, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("k").alias("ka"), F.col("component").alias("ca"), *marks)
@@ -294,7 +308,7 @@ def components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more), "a", "b", local_limit=LOCAL_EDGES).select(F.col("node").alias("id"), "component")
-    discard(found, members, anchors, first_pairs, still, open_pairs)
+    discard(found, members, anchors, first_pairs, unmarked, still, open_pairs)
     linked = classes.select("digest", "n", F.col("one.row").alias("id"), "least", "copies").join(labels, "id", "left")
     alone, joined = linked.where("component is null"), linked.where("component is not null")
     heads = joined.groupBy("component").agg(F.min("least").alias("least"))
