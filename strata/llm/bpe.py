@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
 from strata.llm.common import Bounded, keyed_text, map_rows
 
@@ -43,6 +44,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+@functools.lru_cache(1)
+def known() -> regex.Pattern:
+    """Text of characters that Unicode 3.2 already had, and the emoji of 6.0: on these the tables of all libraries agree."""
+    old, runs = unicodedata.ucd_3_2_0, [[0x1F300, 0x1F5FF], [0x1F600, 0x1F64F], [0x1F680, 0x1F6C5]]
+    for c in (*range(1, 0xD800), *range(0xF900, 0x10000)):
+        if old.category(chr(c)) != "Cn":
+            if runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]*+")
+
+
+def lowered(text: str) -> str:
+    """The text in NFC and lower case, as the library's normalizers make it; its tables are older than Python's."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text) if known().fullmatch(text) else NFC().normalize_str(text)
+    return text.replace("Σ", "σ").lower()
+
+
 class Merges:
     """A vocabulary and its merges as an automaton, the halves of each entry and the table of compatible pairs."""
 
@@ -158,7 +180,7 @@ class Bpe:
     def _chunk(self, chunk: str) -> bytes:
         """ids (32-bit, little-endian) of a run that no merge can cross."""
         if self.words:
-            chunk = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            chunk = lowered(chunk)
         pieces = self.pieces
         word = chunk[1:] if chunk[0] == " " else chunk
         if word.isalpha():  # most runs: letters, perhaps after a space, perhaps with one stop after them

@@ -92,7 +92,7 @@ def measure(text: str, packer: zstandard.ZstdCompressor) -> tuple[int, int, int,
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the counts, ratio, off_band, base_failed, kept; one row for each row. No shuffle."""
+    """doc_id, the counts, base_failed, kept, ratio, off_band; one row for each row. No shuffle."""
     kind = dict(docs.dtypes)[id_col]
 
     def make(b: pa.RecordBatch) -> dict:
@@ -101,7 +101,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n_words, repeat = np.array(got[0]), np.array(got[4])
         failed = (n_words < 20) | (100 * repeat > 30 * n_words)
         counts = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), (pa.array(x, pa.int64()) for x in got), strict=False))
-        return {"doc_id": b.column(0)} | counts | {"ratio": pa.array(got[5], pa.float64()), "off_band": pa.array(got[6], pa.float64()), "base_failed": pa.array(failed), "kept": pa.array(~failed & np.array(got[7], bool))}
+        return {"doc_id": b.column(0)} | counts | {"base_failed": pa.array(failed), "kept": pa.array(~failed & np.array(got[7], bool)), "ratio": pa.array(got[5], pa.float64()), "off_band": pa.array(got[6], pa.float64())}
 
-    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, off_band double, base_failed boolean, kept boolean"
+    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, off_band double"
     return map_rows(keyed_text(docs, id_col, text_col), make, schema)

@@ -13,35 +13,20 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from strata.llm.bpe import BYTE_PATTERN, byte_letters
+from strata.llm.bpe import BYTE_PATTERN, byte_letters, known, lowered
 
 #: White space apart from what RE2's \s holds: fixed values, the property White_Space without U+0009 to U+000D and U+0020.
 OTHER_SPACE = "\\x{0B}\\x{85}\\p{Z}"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^\s{OTHER_SPACE}\p{{L}}\p{{N}}]+"
 
 
-@functools.lru_cache(1)
-def known() -> regex.Pattern:
-    """Text of characters that Unicode 3.2 already had, and the emoji of 6.0: on these the tables of all libraries agree."""
-    old, runs = unicodedata.ucd_3_2_0, [[0x1F300, 0x1F5FF], [0x1F600, 0x1F64F], [0x1F680, 0x1F6C5]]
-    for c in (*range(1, 0xD800), *range(0xF900, 0x10000)):
-        if old.category(chr(c)) != "Cn":
-            if runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]*+")
-
-
 class FastIds:
     """Tokenizer files of the two kinds that strata.llm.bpe knows."""
 
@@ -85,7 +70,7 @@ class FastIds:
         """The ids of each text as unsigned 32-bit integers, without special tokens at its ends."""
         slow = [self._slow(t) for t in texts]
         if self.words:
-            low = ["" if s else t.lower() if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t, s in zip(texts, slow, strict=True)]
+            low = ["" if s else lowered(t) for t, s in zip(texts, slow, strict=True)]
             marked = pc.replace_substring_regex(pa.array(low, pa.large_string()), pattern=PIECES, replacement="\\0\0").to_pylist()
         else:
             marked = texts

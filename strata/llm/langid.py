@@ -6,21 +6,25 @@ passages of each language. One-versus-rest kernel ridge regression on the kernel
 for each language; a text's values are the means over all its passages. A batch of texts is scored by two matrix
 products.
 
-Learning takes a bounded sample: for each language the `per_language` rows of smallest hash that aren't held out, and of
-those `landmarks` as landmarks (documented parameters). Scoring takes whole texts.
+Learning takes a bounded sample: of the LANGUAGES most frequent languages the `per_language` rows of smallest hash that
+aren't held out, of each at most BAG passages, evenly spaced, and of those `landmarks` by hash, from as many documents as
+there are, as landmarks (documented parameters). Scoring takes whole texts, SCORED passages at a time.
 
 A text is unlike every learned language if too few of its n-grams, beyond those that hash there by chance, are found in
 the landmarks of any one language. The share doesn't fall with the length of a text, so short texts stay. The limit is
-calibrated on learned passages that aren't landmarks: STRAY times the share that all but a hundredth of them reach.
+calibrated on learned passages that aren't landmarks: STRAY times the share that all but a hundredth of them reach; without
+such passages it is 0.
 
 Cases: null text, and text without a letter, is `und` with score 0, as is all text if there is nothing to learn from;
 rows with null language aren't learned from; ties go to the language first by name; very long texts are scored in
-passages; repeated rows are scored each by itself; an empty table gives an empty table; other columns take no part.
+passages; repeated rows are scored each by itself, and learned from once; an empty table gives an empty table; other columns take no part.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +34,21 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import held_out, map_rows, slices
 
-SLOTS = 4096
+SLOTS = 1 << 14
 PASSAGE = 1536
 PER_LANGUAGE = 200
 LANDMARKS = 32
+LANGUAGES = 500
+BAG = 32  # passages of a text that are learned from, evenly spaced
+SCORED = 512  # passages scored at once
 RIDGE = 1e-3
 STRAY = 0.6
 LETTER = regex.compile(r"\p{L}")
 
 
-def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of normalised n-gram presence for each passage, and where each text's passages begin."""
-    datas = [t.lower().encode("utf-8", "replace") for t in texts]
+def presence(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of normalised n-gram presence for each passage, and where each text's passages begin; bytes are of lower-cased text."""
+    datas = [t if isinstance(t, bytes) else t.lower().encode("utf-8", "replace") for t in texts]
     sizes = np.array([len(d) for d in datas])
     counts = np.maximum(1, -(-sizes // PASSAGE))
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -56,12 +63,17 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(flat) < n:
             break
         h = (h[: len(flat) - n + 1] * np.uint32(0x01000193)) ^ (flat[n - 1 :] + np.uint32(n))
-        slot = (h * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        slot = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS.bit_length() + 1)
         at = rows[: len(slot)]
         inner = at == rows[n - 1 :]
         cells[at[inner] * SLOTS + slot[inner]] = 1
-    norm = np.sqrt(out.sum(1, keepdims=True))
-    return out / np.maximum(norm, 1), first
+    return normalised(out), first
+
+
+def normalised(bits: np.ndarray) -> np.ndarray:
+    """Presence scaled so that the product of equal rows is 1."""
+    out = bits.astype(np.float32)
+    return out / np.maximum(np.sqrt(out.sum(1, keepdims=True)), 1)
 
 
 @dataclasses.dataclass
@@ -73,17 +85,43 @@ class Kernel:
     owner: np.ndarray  # the language of each landmark
     least: float = 0.0  # likeness below which a text is in none of the languages
 
+    def __getstate__(self) -> dict:
+        """Tasks get the landmarks as bits."""
+        return self.__dict__ | {"landmarks": np.packbits(self.landmarks > 0, axis=1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, landmarks=normalised(np.unpackbits(state["landmarks"], axis=1)))
+
     def values(self, texts: list[str]) -> np.ndarray:
         """A value for each text and language, by two matrix products over the passages."""
         return self.told(texts)[0]
 
     def told(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The values, and each text's likeness to the language it is most like."""
-        phi, first = presence(texts)
-        kernel = phi @ self.landmarks.T
-        sizes = np.diff(np.append(first, len(phi)))
-        mean = lambda x: np.add.reduceat(x, first) / sizes[:, None]
-        return mean(kernel @ self.weights), mean(likeness(phi, kernel, self.landmarks, self.owner)).max(1)
+        sums = [np.zeros((len(texts), len(self.languages))) for _ in range(2)]
+        count = np.zeros((len(texts), 1))
+        for of, parts in portions(texts):
+            phi, first = presence(parts)
+            kernel = phi @ self.landmarks.T
+            for total, x in zip(sums, (kernel @ self.weights, likeness(phi, kernel, self.landmarks, self.owner)), strict=True):
+                np.add.at(total, of, np.add.reduceat(x, first))
+            np.add.at(count, of, np.diff(np.append(first, len(phi)))[:, None])
+        return sums[0] / count, (sums[1] / count).max(1)
+
+
+def portions(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Whole texts, and parts of long ones cut between passages, that together hold at most about SCORED passages; with the number of the text of each."""
+    of, parts, held = [], [], 0
+    for i, t in enumerate(texts):
+        data = t.lower().encode("utf-8", "replace")
+        for at in range(0, max(1, len(data)), SCORED * PASSAGE):
+            part = data[at : at + SCORED * PASSAGE]
+            if held and held + len(part) > SCORED * PASSAGE:
+                yield of, parts
+                of, parts, held = [], [], 0
+            of, parts, held = [*of, i], [*parts, part], held + max(len(part), PASSAGE)
+    if of:
+        yield of, parts
 
 
 def likeness(phi: np.ndarray, kernel: np.ndarray, landmarks: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -104,38 +142,40 @@ def fit(phi: np.ndarray, y: np.ndarray, languages: list[str], landmarks: int = L
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     k = (marks @ marks.T).astype(float)
     w = np.linalg.solve(c.T @ (weight * c) + len(y) * ridge * k + 1e-6 * np.eye(len(k)), c.T @ (weight * target))
-    # passages of the sample that are no landmarks; where a language has none, its landmarks stand in
+    # passages of the sample that are no landmarks; where there is none, nothing tells a limit, and none holds
     spare = np.ones(len(y), bool)
     spare[chosen] = False
-    spare |= np.bincount(y[spare], minlength=len(languages))[y] == 0
-    like = likeness(phi[spare], c[spare], marks, y[chosen])[np.arange(spare.sum()), y[spare]]
+    like = likeness(phi[spare], c[spare], marks, y[chosen])[np.arange(spare.sum()), y[spare]] if spare.any() else np.zeros(1)
     return Kernel(languages, marks, w.astype(np.float32), y[chosen], max(0.0, STRAY * float(np.quantile(like, 0.01))))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Kernel | None:
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     df = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    df = df.join(F.broadcast(df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")), "lang").select("doc_id", "text", "lang")
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
     # only ids compete for the places in the sample; the texts of the chosen are fetched by a join with that bounded list
-    chosen = df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language).select("doc_id", "lang")
-    picked = df.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    chosen = df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.dense_rank().over(by_hash)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+    picked = df.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def make(b: pa.RecordBatch) -> dict:
         texts = b.column(1).to_pylist()
         phi, first = presence(texts)
         ends = np.append(first[1:], len(phi))
-        keep = [i for i, t in enumerate(texts) if LETTER.search(t) for _ in range(first[i], ends[i])]
         bits = np.packbits(phi > 0, axis=1)
-        rows = [k for i, t in enumerate(texts) if LETTER.search(t) for k in range(first[i], ends[i])]
+        spaced = [(first[i] + np.unique(np.linspace(0, ends[i] - first[i] - 1, BAG).astype(int))) if LETTER.search(t) else [] for i, t in enumerate(texts)]
+        keep, rows = np.repeat(np.arange(len(texts)), [len(k) for k in spaced]), [k for ks in spaced for k in ks]
         return {"doc_id": b.column(0).cast(pa.string()).take(keep), "lang": b.column(2).take(keep), "x": pa.array([bits[k].tobytes() for k in rows], pa.binary())}
 
-    rows = sorted((r.doc_id, r.lang, bytes(r.x)) for r in map_rows(picked, make, "doc_id string, lang string, x binary", 200).toLocalIterator())
+    rows = sorted(((zlib.crc32(r.x), r.doc_id, r.lang, bytes(r.x)) for r in map_rows(picked, make, "doc_id string, lang string, x binary", 20).collect()))
     if not rows:
         return None
+    # landmarks are the first rows of a language: one passage of each document first
+    seen: set[str] = set()
+    rows = [r[1:] for r in sorted(rows, key=lambda r: r[1] in seen or seen.add(r[1]) or False)]
     languages = sorted({r[1] for r in rows})
-    bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    phi = bits / np.maximum(np.sqrt(bits.sum(1, keepdims=True)), 1)
-    return fit(phi, np.array([languages.index(r[1]) for r in rows]), languages)
+    bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
+    return fit(normalised(bits), np.array([languages.index(r[1]) for r in rows]), languages)
 
 
 def told(texts: list[str | None], model: Kernel | None) -> tuple[list[str], np.ndarray, np.ndarray]:

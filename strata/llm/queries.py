@@ -62,20 +62,20 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and linked secrets of every document."""
     found = secrets.scan_documents(table(spark, sf_dir, "documents"))
-    return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def op9_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).withColumn("held_out", held_out())
+    return quality.score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the languages that aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.train(docs)).withColumn("held_out", held_out())
+    return langid.identify(docs, langid.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

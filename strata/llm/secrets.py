@@ -13,7 +13,7 @@ once; repeated rows are scanned each by itself; an empty table gives an empty ta
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +53,10 @@ def looks_random(run: str) -> bool:
 
 
 def meets(spans: list[tuple[int, int]], others: list[tuple[int, int]], scope: int) -> list[bool]:
-    """Interval join by sorted starts: which spans have another within the scope. The others are widened by it and merged first."""
+    """Interval join by sorted starts: which spans have another with no more than `scope` characters between (-1: with a character in common).
+
+    The others are widened by the scope, and merged, first.
+    """
     merged: list[list[int]] = []
     for s, e in sorted(others):
         if merged and s - scope <= merged[-1][1]:
@@ -63,8 +66,8 @@ def meets(spans: list[tuple[int, int]], others: list[tuple[int, int]], scope: in
     starts = [m[0] for m in merged]
     out = []
     for s, e in spans:
-        k = bisect_left(starts, e) - 1
-        out.append(k >= 0 and merged[k][1] > s)
+        k = bisect_right(starts, e) - 1
+        out.append(k >= 0 and merged[k][1] >= s)
     return out
 
 
@@ -78,7 +81,7 @@ def linked_spans(text: str, low: str, plain: list[Span], scope: int = SCOPE) ->
         return []
     taken = [(s, e) for s, _, e in plain] + ends
     bare = [m.span() for m in BARE.finditer(text) if looks_random(m[0])]
-    inside = meets(bare, taken, 0)
+    inside = meets(bare, taken, -1)
     bare = [b for b, hit in zip(bare, inside, strict=True) if not hit]
     ids, secrets = access + weak_ids, known + bare
     near = lambda a, b: meets(a, b, scope)

@@ -10,7 +10,7 @@ queries against all rows, in blocks. Each group gives k rows for each query; a r
 
 Cases: vectors that are null, empty, or hold null, NaN or infinite components take no part; of rows that repeat an id
 the least vector counts; rows with a null id take no part; shorter vectors count as filled up with zeros; ties go to the
-smaller id; fewer candidates than k give fewer rows; an empty table gives an empty table; other columns take no part.
+smaller id; fewer candidates than k give fewer rows; components up to 2^53 and scores up to 2^63 are exact; an empty table gives an empty table; other columns take no part.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 K = 20
 LEVELS = (4, 16)
-CANDIDATES = 4096
-QUERIES = 2048
+CANDIDATES = 1 << 14, 1 << 10  # rows of a block, at most; and at least, where blocks are fewer than cores
+QUERIES = 1 << 14
 
 
 def usable(vector: Column) -> Column:
@@ -45,6 +45,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
     c_ids, c = c_ids[order], c[order]
     coarse_c, fine_c = features(c, LEVELS[0]), features(c, LEVELS[1])
     out: tuple[list, list, list] = ([], [], [])
+    # doubles are exact while no sum can reach 2^53; else the scores are those of 64-bit integers
+    kind = np.float64 if float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1] < 1 << 53 else np.int64
+    c = c.astype(kind, copy=False)
     for i in range(0, len(q), 128):
         part = q[i : i + 128]
         bound = features(part, LEVELS[0]) @ coarse_c.T
@@ -58,12 +61,13 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
             first = first[b[first] > -np.inf]
             if not len(first):
                 continue
-            exact = c[first] @ part[j]
+            asked = part[j].astype(kind, copy=False)
+            exact = c[first] @ asked
             least = np.sort(exact)[-k] if len(exact) >= k else -np.inf
             left = np.flatnonzero((b >= least) & (b > -np.inf))
             fine = fine_c[left] @ fine_q[j]
             left = left[fine + 1e-6 * (1 + np.abs(fine)) >= least]
-            exact = c[left] @ part[j]
+            exact = c[left] @ asked
             best = np.lexsort((left, -exact))[:k]  # candidates are in order of their ids
             out[0].extend([own] * len(best))
             out[1].extend(c_ids[left[best]])
@@ -87,7 +91,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 64, id_
     df = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("x")))
     df = df.groupBy("id").agg(F.min("x").alias("x"), F.max("asks").alias("asks")).select("id", x.alias("x"), "asks")
     rows, asking = df.agg(F.count(F.lit(1)), F.sum(F.col("asks").cast("long"))).first()
-    n_c, n_q = max(1, -(-rows // CANDIDATES)), max(1, -(-(asking or 0) // QUERIES))
+    n_q = max(1, -(-(asking or 0) // QUERIES))
+    n_c = max(1, -(-rows // CANDIDATES[0]), min(2 * vectors.sparkSession.sparkContext.defaultParallelism // n_q, -(-rows // CANDIDATES[1])))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = df.select(block(n_c).alias("cb"), every(n_q).alias("qb"), F.lit(False).alias("asks"), "id", "x")
