@@ -52,21 +52,6 @@ def flat_id(frame: Frame) -> Column:
     return (F.col("layer").cast("long") * frame.dim_y + F.col("row")) * frame.dim_x + F.col("col")
 
 
-def euclidean(a: Column, b: Column, c: Column) -> Column:
-    return F.sqrt(a * a + b * b + c * c)
-
-
-def manhattan(a: Column, b: Column, c: Column) -> Column:
-    return F.abs(a) + F.abs(b) + F.abs(c)
-
-
-def octile(a: Column, b: Column, c: Column) -> Column:
-    """Diagonal distance on index differences, the layer counting as one axis."""
-    d = F.array_sort(F.array(F.abs(a).cast("double"), F.abs(b).cast("double"), F.abs(c).cast("double")))
-    low, mid, high = d[0], d[1], d[2]
-    return F.sqrt(F.lit(3.0)) * low + F.sqrt(F.lit(2.0)) * (mid - low) + (high - mid)
-
-
 def step_length(resolution: float) -> Column:
     """Length in cells of a step from (layer, row, col, elev_g) to (layer2, row2, col2, elev_g2), the height counted in cells."""
     dl, dr, dc = (F.col(f"{n}2") - F.col(n) for n in ("layer", "row", "col"))

@@ -70,27 +70,40 @@ def iou(a: Column, b: Column) -> Column:
 
 
 def iou_pairs(regions: DataFrame) -> DataFrame:
-    """a, b, iou of regions whose boxes overlap: joined on the height intervals, not as a product of all regions."""
-    box = F.struct(*BOX)
-    a, b = regions.select(F.col("id").alias("a"), box.alias("p")), regions.select(F.col("id").alias("b"), box.alias("q"))
-    meets = (F.col("a") < F.col("b")) & (F.col("p.min_z") < F.col("q.max_z")) & (F.col("q.min_z") < F.col("p.max_z"))
-    return a.join(b, meets).select("a", "b", iou(F.col("p"), F.col("q")).alias("iou")).where("iou > 0")
+    """a, b, iou of regions whose boxes overlap.
+
+    Boxes are dealt into the cells of a ground grid as wide as a box is in the mean, and meet in cells; of the cells that
+    two boxes share, the first one counts. Only the two mean widths come to the driver.
+    """
+    widths = regions.agg(*(F.avg(F.col(f"max_{v}") - F.col(f"min_{v}")).alias(v) for v in "xy")).first()
+    cell = lambda v, end: F.floor(F.col(f"{end}_{v}") / max(widths[v] or 0.0, 1e-3))
+    dealt = regions.select("id", F.struct(*BOX).alias("box"), cell("x", "min").alias("x0"), cell("y", "min").alias("y0"), F.explode(F.sequence(cell("x", "min"), cell("x", "max"))).alias("cx"), cell("y", "max").alias("y1"))
+    dealt = dealt.select("id", "box", "x0", "y0", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    side = lambda n: dealt.select("cx", "cy", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "box", "x0", "y0")))
+    met = side("p").join(side("q"), ["cx", "cy"]).where((F.col("p_id") < F.col("q_id")) & (F.col("cx") == F.greatest("p_x0", "q_x0")) & (F.col("cy") == F.greatest("p_y0", "q_y0")))
+    return met.select(F.col("p_id").alias("a"), F.col("q_id").alias("b"), iou(F.col("p_box"), F.col("q_box")).alias("iou")).where("iou > 0")
 
 
 def deduplicate(regions: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Regions by falling node count, without those that overlap a kept one by more than the threshold; ids anew in that order.
 
-    The greedy choice is sequential. It runs as one aggregate over the sorted array of regions, which are few.
+    The greedy choice is sequential, but only among regions that overlap: it runs for each component of the graph of
+    overlaps as one aggregate over its sorted regions. Regions without an overlap stay.
     """
     if threshold < 0:
         return regions
     columns = regions.columns
-    row = F.struct((-F.col("node_count")).alias("_key"), F.col("id").alias("_id"), *(c for c in columns))
-    ordered = regions.agg(F.array_sort(F.collect_list(row)).alias("all"))
+    overlaps = iou_pairs(regions).where(F.col("iou") > threshold)
+    groups = connected_components(overlaps, "a", "b", local_limit=LOCAL_EDGES).select(F.col("node").alias("id"), "component")
+    marked = regions.join(groups, "id", "left")
+    row = F.struct((-F.col("node_count")).alias("_key"), F.col("id").alias("_id"), *columns)
+    ordered = marked.where("component is not null").groupBy("component").agg(F.array_sort(F.collect_list(row)).alias("all"))
     empty = F.filter("all", lambda r: F.lit(False))
     kept = F.aggregate("all", empty, lambda acc, r: F.when(F.exists(acc, lambda k: iou(k, r) > threshold), acc).otherwise(F.concat(acc, F.array(r))))
-    out = ordered.select(F.posexplode(kept).alias("pos", "r"))
-    return out.select(F.col("pos").alias("id"), *(F.col(f"r.{c}") for c in columns if c != "id"))
+    chosen = ordered.select(F.explode(kept).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in columns))
+    out = marked.where("component is null").select(columns).unionByName(chosen)
+    order = Window.orderBy(F.desc("node_count"), "id")  # what is left of the large components of one map: few
+    return out.select((F.row_number().over(order) - 1).alias("id"), *(c for c in columns if c != "id"))
 
 
 def merge_by_gap(regions: DataFrame, gap: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 
 import numpy as np
@@ -12,48 +13,81 @@ from pyspark.sql import functions as F
 
 from strata.config import Frame, Scene
 from strata.functions.coords import grid_of, layer_of, node_x, node_y, traversable
-from strata.session import written
+from strata.operators.graph_core import LOCAL_EDGES, connected_components
+from strata.session import discard, written
 
-NEAR_QUERIES = 10_000
-EDGE_LIMIT = 30_000_000
+EDGE_LIMIT = 30_000_000  # edges of one component that a task may hold; about 1 GB
+STARTS = 128  # starts that one task searches from
 
 
 def nearest_node(queries: DataFrame, nodes: DataFrame, frame: Frame) -> DataFrame:
     """query_id, node_id, dist: the nearest node in space to each (query_id, x, y, z); equal distances go to the least id.
 
-    Up to NEAR_QUERIES queries are broadcast (their number is checked) and every task reduces its nodes to one row for
-    each query. More queries are dealt into so many blocks, each of which is handled that way.
+    Positions and nodes are dealt into cubes; a position meets the nodes of the 27 cubes around its own, so the join has
+    an equality and both sides are spread. What lies outside those is farther than a cube is wide, so a node found
+    within that distance is the nearest. Positions without one go on with cubes four times as wide, until one cube is
+    wider than all there is. Each position is looked up once, however many queries stand there.
     """
-    q = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"))
-    n = nodes.select("node_id", node_x(frame).alias("nx"), node_y(frame).alias("ny"), F.col("elev_g").alias("nz"))
-    blocks = -(-q.count() // NEAR_QUERIES)
+    q = queries.select("query_id", *(F.col(v).cast("double").alias(v) for v in "xyz")).dropna()
+    n = written(nodes.select("node_id", node_x(frame).alias("nx"), node_y(frame).alias("ny"), F.col("elev_g").alias("nz")).dropna(), "places")
+    todo = written(q.select("x", "y", "z").distinct(), "positions")
+    ends = [f(v) for v in ("nx", "ny", "nz") for f in (F.min, F.max)], [f(v) for v in "xyz" for f in (F.min, F.max)]
+    node_ends, query_ends = (tuple(t.agg(*(e.alias(str(i)) for i, e in enumerate(x))).first()) for t, x in zip((n, todo), ends, strict=True))
+    known = node_ends[0] is not None and query_ends[0] is not None
+    span = max(max(node_ends[i + 1], query_ends[i + 1]) - min(node_ends[i], query_ends[i]) for i in (0, 2, 4)) if known else -1.0
+    around = F.explode(F.array(*(F.struct(*(F.lit(d).alias(v) for v, d in zip("abc", o, strict=True))) for o in itertools.product((-1, 0, 1), repeat=3)))).alias("o")
     sq = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    d2 = F.round(sq("qx", "nx") + sq("qy", "ny") + sq("qz", "nz"), 9)
-    out = None
-    for k in range(max(1, blocks)):
-        part = q if blocks <= 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        best = n.join(F.broadcast(part)).groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("b"))
-        best = best.select("query_id", F.col("b.node_id").alias("node_id"), F.sqrt("b.d2").alias("dist"))
-        out = best if out is None else out.unionByName(best)
-    return out
+    d2 = F.round(sq("x", "nx") + sq("y", "ny") + sq("z", "nz"), 9)
+    size, found, used = 4 * frame.resolution, None, [n]
+    while True:
+        cube = lambda v: F.floor(F.col(v) / size)  # noqa: B023, E731
+        places = n.withColumns({k: cube(v) for k, v in zip(("bx", "by", "bz"), ("nx", "ny", "nz"), strict=True)})
+        asked = todo.select("x", "y", "z", around).select("x", "y", "z", *((cube(v) + F.col(f"o.{o}")).alias(k) for v, o, k in zip("xyz", "abc", ("bx", "by", "bz"), strict=True)))
+        best = asked.join(places, ["bx", "by", "bz"]).groupBy("x", "y", "z").agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("b"))
+        last = size > span
+        best = written(best if last else best.where(F.sqrt("b.d2") < size - 1e-6), "nearest")
+        found = best if found is None else found.unionByName(best)
+        if last:
+            break
+        used.append(todo)
+        todo = written(todo.join(best, ["x", "y", "z"], "left_anti"), "positions")
+        if not todo.limit(1).count():
+            break
+        size *= 4
+    discard(*used, todo)
+    return q.join(found, ["x", "y", "z"]).select("query_id", F.col("b.node_id").alias("node_id"), F.sqrt("b.d2").alias("dist"))
 
 
 def ring_snap(queries: DataFrame, nodes: DataFrame, scene: Scene) -> DataFrame:
     """query_id, node_id, dist: the best traversable node of the first square ring around (layer, row, col) that has one.
 
-    Within the ring: least squared distance in cells, then cost, then row and column. Queries look into the nine
-    buckets, as wide as the radius, around their own, so the join has an equality and both sides are spread.
+    Within the ring: least squared distance in cells, then cost, then row and column. Cells meet the nodes of the nine
+    buckets around their own, which hold all rings as wide as a bucket; cells that find nothing there go on with buckets
+    four times as wide, up to the radius. Each cell is looked up once, however many queries stand there.
     """
-    r, size = scene.snap_radius, scene.snap_radius + 1
-    bucket = lambda c: F.floor(F.col(c) / size).cast("int")
-    q = queries.select("query_id", "layer", F.col("row").alias("qr"), F.col("col").alias("qc"))
-    near = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("o")
-    q = q.select("query_id", "layer", "qr", "qc", near).select("query_id", "layer", "qr", "qc", (bucket("qr") + F.col("o.a")).alias("br"), (bucket("qc") + F.col("o.b")).alias("bc"))
-    n = nodes.where(traversable(scene)).select("node_id", "layer", "row", "col", "trav", bucket("row").alias("br"), bucket("col").alias("bc"))
-    dr, dc = F.col("row") - F.col("qr"), F.col("col") - F.col("qc")
-    met = q.join(n, ["layer", "br", "bc"]).withColumn("dr", dr).withColumn("dc", dc).withColumn("ring", F.greatest(F.abs(dr), F.abs(dc))).where(F.col("ring") <= r)
-    best = F.min(F.struct("ring", (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), "trav", "dr", "dc", "node_id")).alias("b")
-    return met.groupBy("query_id").agg(best).select("query_id", F.col("b.node_id").alias("node_id"), F.sqrt(F.col("b.d2").cast("double")).alias("dist"))
+    q = queries.select("query_id", "layer", "row", "col").dropna()
+    n = nodes.where(traversable(scene)).select("node_id", "layer", F.col("row").alias("nr"), F.col("col").alias("nc"), "trav")
+    todo = written(q.select("layer", "row", "col").distinct(), "cells")
+    near = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in itertools.product((-1, 0, 1), repeat=2)))).alias("o")
+    dr, dc = F.col("nr") - F.col("row"), F.col("nc") - F.col("col")
+    rank = F.min(F.struct("ring", (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), "trav", "dr", "dc", "node_id")).alias("b")
+    size, found, used = min(4, scene.snap_radius), None, []
+    while True:
+        bucket = lambda c: F.floor(F.col(c) / max(1, size)).cast("int")  # noqa: B023, E731
+        asked = todo.select("layer", "row", "col", near).select("layer", "row", "col", (bucket("row") + F.col("o.a")).alias("br"), (bucket("col") + F.col("o.b")).alias("bc"))
+        met = asked.join(n.withColumns({"br": bucket("nr"), "bc": bucket("nc")}), ["layer", "br", "bc"]).withColumns({"dr": dr, "dc": dc, "ring": F.greatest(F.abs(dr), F.abs(dc))})
+        best = written(met.where(F.col("ring") <= size).groupBy("layer", "row", "col").agg(rank), "rings")
+        found = best if found is None else found.unionByName(best)
+        used.append(todo)
+        if size >= scene.snap_radius:
+            break
+        todo = written(todo.join(best, ["layer", "row", "col"], "left_anti"), "cells")
+        if not todo.limit(1).count():
+            used.append(todo)
+            break
+        size = min(4 * size, scene.snap_radius)
+    discard(*used)
+    return q.join(found, ["layer", "row", "col"]).select("query_id", F.col("b.node_id").alias("node_id"), F.sqrt(F.col("b.d2").cast("double")).alias("dist"))
 
 
 def to_grid(queries: DataFrame, frame: Frame, heights: list[float]) -> DataFrame:
@@ -75,93 +109,181 @@ def snapped_pairs(pairs: DataFrame, nodes: DataFrame, scene: Scene, frame: Frame
     return hit.groupBy("pair_index").agg(one("s").alias("start_id"), one("g").alias("goal_id")).where("start_id is not null and goal_id is not null")
 
 
+def octile(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Diagonal distance: steps along three, two and one axis."""
+    return math.sqrt(3) * low + math.sqrt(2) * (mid - low) + (high - mid)
+
+
+#: Bounds on the rest of a path from the sorted differences of layer, row and column. Manhattan may exceed it, as steps can be diagonal.
+HEURISTICS = {
+    "octile": octile,
+    "euclidean": lambda low, mid, high: np.sqrt(low * low + mid * mid + high * high),
+    "manhattan": lambda low, mid, high: low + mid + high,
+}
+
+
 class Adjacency:
-    """The edges as arrays sorted by source, with the cells of the nodes for the heuristic."""
+    """The edges of a component as lists by source, with the cells of the nodes for the heuristic."""
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
         order = np.argsort(ids)
         self.ids, self.cells = ids[order], cells[order]
         src, dst = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
         by = np.lexsort((dst, src))
-        self.dst, self.weight = dst[by], weight[by]
-        self.first = np.searchsorted(src[by], np.arange(len(ids) + 1))
-
-    def search(self, start: int, goal: int) -> tuple[float, list[int], int] | None:
-        """Cost, node ids and number of settled nodes of a cheapest path; the heap is ordered by (cost + octile bound, node)."""
-        s, g = (int(np.searchsorted(self.ids, x)) for x in (start, goal))
-        if s >= len(self.ids) or g >= len(self.ids) or self.ids[s] != start or self.ids[g] != goal:
-            return None
-        low, mid, high = np.sort(np.abs(self.cells - self.cells[g]), axis=1).T.astype(float)
-        bound = math.sqrt(3) * low + math.sqrt(2) * (mid - low) + (high - mid)
-        cost, parent, settled = {s: 0.0}, {s: -1}, set()
-        heap = [(float(bound[s]), s)]
-        first, dst, weight = self.first, self.dst, self.weight
-        while heap:
+        first = np.searchsorted(src[by], np.arange(len(ids) + 1)).tolist()
+        steps = list(zip(dst[by].tolist(), weight[by].tolist(), strict=True))
+        self.steps = [steps[a:b] for a, b in itertools.pairwise(first)]
+
+    def _number(self, node: int) -> int:
+        at = int(np.searchsorted(self.ids, node))
+        return at if at < len(self.ids) and self.ids[at] == node else -1
+
+    def search(self, start: int, goals: list[int], heuristic: str = "octile") -> tuple[dict[int, tuple[float, list[int]]], list[int]]:
+        """Cost and nodes of a cheapest path to each goal that has one, and the nodes settled, in that order.
+
+        The heap is ordered by (cost + bound, node). One goal is searched for with a bound, several without.
+        """
+        s, left = self._number(start), {g for g in map(self._number, goals) if g >= 0}
+        if s < 0 or not left:
+            return {}, []
+        bound = None
+        if len(left) == 1:
+            bound = HEURISTICS[heuristic](*np.sort(np.abs(self.cells - self.cells[next(iter(left))]), axis=1).T.astype(float)).tolist()
+        cost, parent, settled, found, steps = {s: 0.0}, {s: -1}, {}, {}, self.steps
+        heap = [(bound[s] if bound else 0.0, s)]
+        while heap and left:
             _, u = heapq.heappop(heap)
             if u in settled:
                 continue
-            settled.add(u)
-            if u == g:
-                path = []
-                while u >= 0:
-                    path.append(int(self.ids[u]))
-                    u = parent[u]
-                return cost[g], path[::-1], len(settled)
+            settled[u] = None
+            if u in left:
+                left.remove(u)
+                path, at = [], u
+                while at >= 0:
+                    path.append(int(self.ids[at]))
+                    at = parent[at]
+                found[int(self.ids[u])] = cost[u], path[::-1]
             base = cost[u]
-            for v, w in zip(dst[first[u] : first[u + 1]].tolist(), weight[first[u] : first[u + 1]].tolist(), strict=True):
+            for v, w in steps[u]:
                 new = base + w
                 if v not in settled and new < cost.get(v, math.inf):
                     cost[v], parent[v] = new, u
-                    heapq.heappush(heap, (new + float(bound[v]), v))
-        return None
+                    heapq.heappush(heap, (new + bound[v] if bound else new, v))
+        return found, self.ids[list(settled)].tolist()
 
 
-def search_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, edge_limit: int = EDGE_LIMIT) -> DataFrame:
-    """pair_index, cost, settled, path (array of node_id) of (pair_index, start_id, goal_id); pairs without a path drop out.
+def _searches(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, edge_limit: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Distinct (start_id, goal_id, component) of one component; its edges with cells; the same two for components over the limit."""
+    labels = written(connected_components(edges, local_limit=LOCAL_EDGES).select(F.col("node").alias("node_id"), "component"), "labels")
+    known = nodes.select("node_id", "layer", "row", "col").join(labels, "node_id")
+    side = lambda e: labels.select(F.col("node_id").alias(f"{e}_id"), F.col("component").alias(f"{e}_component"))
+    asked = pairs.select("start_id", "goal_id").where("start_id <> goal_id").distinct().join(side("start"), "start_id").join(side("goal"), "goal_id")
+    asked = written(asked.where("start_component = goal_component").select("start_id", "goal_id", F.col("start_component").alias("component")), "asked")
+    known = known.join(asked.select("component").distinct(), "component", "left_semi")
+    steps = written(edges.join(known.withColumnRenamed("node_id", "src"), "src"), "edges")
+    large = F.broadcast(written(steps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > edge_limit).select("component"), "large"))  # at most one for edge_limit edges
+    apart = lambda t, how: t.join(large, "component", how)
+    return apart(asked, "left_anti"), apart(steps, "left_anti"), apart(asked, "left_semi"), apart(steps, "left_semi")
 
-    A graph of up to edge_limit edges (counted first) is broadcast once and pairs are searched side by side. A larger one
-    stays distributed and costs are relaxed round by round.
-    """
-    edges = written(edges, "edges")
-    if edges.count() > edge_limit:
-        return relaxed_paths(pairs, edges)
-    n = nodes.select("node_id", "layer", "row", "col").toArrow()
-    e = edges.select("src", "dst", "weight").toArrow()
-    cells = np.stack([n.column(c).to_numpy() for c in ("layer", "row", "col")], axis=1) if n.num_rows else np.zeros((0, 3))
-    graph = pairs.sparkSession.sparkContext.broadcast(Adjacency(n.column(0).to_numpy(), cells, *(e.column(i).to_numpy() for i in range(3))))
-
-    def run(batches):
-        for b in batches:
-            found = [(i, graph.value.search(s, g)) for i, s, g in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
-            found = [(i, r) for i, r in found if r]
-            yield pa.RecordBatch.from_pydict(
-                {"pair_index": pa.array([i for i, _ in found], pa.int64()), "cost": pa.array([r[0] for _, r in found], pa.float64()), "settled": pa.array([r[2] for _, r in found], pa.int64()), "path": pa.array([r[1] for _, r in found], pa.list_(pa.int64()))}
-            )
 
-    p = pairs.select(F.col("pair_index").cast("long").alias("pair_index"), F.col("start_id").cast("long").alias("start_id"), F.col("goal_id").cast("long").alias("goal_id"))
-    return p.repartition("pair_index").mapInArrow(run, "pair_index long, cost double, settled long, path array<long>")
+def _shared_out(asked: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with shard: the starts of a component by STARTS a shard, its edges once for each shard."""
+    shards = asked.groupBy("component").agg((F.ceil(F.approx_count_distinct("start_id") / STARTS)).cast("int").alias("shards"))
+    asked = asked.join(shards, "component").withColumn("shard", F.pmod(F.xxhash64("start_id"), F.col("shards")).cast("int")).drop("shards")
+    steps = steps.join(shards, "component").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    return asked, steps
+
+
+def _graph(steps: pa.Table) -> Adjacency:
+    src = steps.column("src").to_numpy()
+    ids, first = np.unique(src, return_index=True)
+    cells = np.stack([steps.column(c).to_numpy()[first] for c in ("layer", "row", "col")], axis=1)
+    return Adjacency(ids, cells, src, steps.column("dst").to_numpy(), steps.column("weight").to_numpy())
 
 
-def relaxed_paths(pairs: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """The same by rounds over tables: the frontier of every pair meets the edges, and better costs make the next frontier."""
-    p = pairs.select(F.col("pair_index").cast("long").alias("pair_index"), "start_id", "goal_id")
-    best = written(p.select("pair_index", F.col("start_id").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent")), "best")
-    front = best
+def search_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, edge_limit: int = EDGE_LIMIT, heuristic: str = "octile") -> DataFrame:
+    """pair_index, cost, path (array of node_id) of (pair_index, start_id, goal_id); pairs without a path drop out.
+
+    Only pairs of one component are searched for. A task gets the edges of one component and some of the starts there;
+    all goals of a start are found by one search. The driver sees no graph. Components with more than edge_limit edges
+    stay distributed, and costs are relaxed round by round.
+    """
+    edges = written(edges.select("src", "dst", "weight"), "edges")
+    p = pairs.select(F.col("pair_index").cast("long").alias("pair_index"), F.col("start_id").cast("long").alias("start_id"), F.col("goal_id").cast("long").alias("goal_id"))
+    asked, steps, far, far_steps = _searches(p, nodes, edges, edge_limit)
+
+    def run(mine: pa.Table, graph: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        if mine.num_rows and graph.num_rows:
+            g, goals = _graph(graph), {}
+            for s, t in zip(mine.column("start_id").to_pylist(), mine.column("goal_id").to_pylist(), strict=True):
+                goals.setdefault(s, []).append(t)
+            for s, ts in goals.items():
+                for t, (cost, path) in g.search(s, ts, heuristic)[0].items():
+                    for column, value in zip(out, (s, t, cost, path), strict=True):
+                        column.append(value)
+        return pa.table({"start_id": pa.array(out[0], pa.int64()), "goal_id": pa.array(out[1], pa.int64()), "cost": pa.array(out[2], pa.float64()), "path": pa.array(out[3], pa.list_(pa.int64()))})
+
+    asked, steps = _shared_out(asked, steps)
+    key = ["component", "shard"]
+    found = asked.groupBy(*key).cogroup(steps.groupBy(*key)).applyInArrow(run, "start_id long, goal_id long, cost double, path array<long>")
+    if far.limit(1).count():
+        found = found.unionByName(relaxed_paths(far, far_steps))
+    there = p.where("start_id = goal_id").join(nodes.select(F.col("node_id").alias("start_id")), "start_id", "left_semi")
+    still = there.select("pair_index", F.lit(0.0).alias("cost"), F.array("start_id").alias("path"))
+    return p.join(found, ["start_id", "goal_id"]).select("pair_index", "cost", "path").unionByName(still)
+
+
+def visited_nodes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, heuristic: str = "octile") -> DataFrame:
+    """pair_index, seq, node_id: the nodes that the search for a single pair settles, in that order; pairs without a path drop out."""
+    edges = written(edges.select("src", "dst", "weight"), "edges")
+    asked, steps, _, _ = _searches(pairs, nodes, edges, EDGE_LIMIT)
+
+    def run(mine: pa.Table, graph: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [])
+        if mine.num_rows and graph.num_rows:
+            g = _graph(graph)
+            for s, t in zip(mine.column("start_id").to_pylist(), mine.column("goal_id").to_pylist(), strict=True):
+                for column, value in zip(out, (s, t, g.search(s, [t], heuristic)[1]), strict=True):
+                    column.append(value)
+        return pa.table({"start_id": pa.array(out[0], pa.int64()), "goal_id": pa.array(out[1], pa.int64()), "visited": pa.array(out[2], pa.list_(pa.int64()))})
+
+    asked, steps = _shared_out(asked, steps)
+    key = ["component", "shard"]
+    found = asked.groupBy(*key).cogroup(steps.groupBy(*key)).applyInArrow(run, "start_id long, goal_id long, visited array<long>")
+    return pairs.join(found, ["start_id", "goal_id"]).select("pair_index", F.posexplode("visited").alias("seq", "node_id"))
+
+
+def relaxed_paths(asked: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """start_id, goal_id, cost, path by rounds over tables: the frontier of every start meets the edges, and better costs make the next frontier.
+
+    What costs as much as the dearest goal found from its start goes no further, once all goals of the start are found.
+    """
+    steps = edges.select(F.col("src").alias("node"), "dst", "weight")
+    wanted = asked.groupBy("start_id").agg(F.collect_set("goal_id").alias("goals"))
+    goals = asked.select("start_id", F.col("goal_id").alias("node"))
+    best = written(asked.select("start_id").distinct().select("start_id", F.col("start_id").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent")), "best")
+    front = written(best, "front")
     for _ in range(max_rounds):
-        step = front.join(edges.withColumnRenamed("src", "node"), "node").select("pair_index", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("node").alias("parent"))
-        step = step.groupBy("pair_index", "node").agg(F.min(F.struct("cost", "parent")).alias("new"))
-        both = best.withColumnRenamed("cost", "old").withColumnRenamed("parent", "old_parent").join(step, ["pair_index", "node"], "full")
-        better = F.coalesce(F.col("new.cost") < F.col("old"), F.col("old").isNull())
-        both = written(both.select("pair_index", "node", F.when(better, F.col("new.cost")).otherwise(F.col("old")).alias("cost"), F.when(better, F.col("new.parent")).otherwise(F.col("old_parent")).alias("parent"), better.alias("moved")), "best")
-        best, front = both.drop("moved"), both.where("moved").drop("moved")
-        if not front.limit(1).count():
+        reached = best.join(goals, ["start_id", "node"]).groupBy("start_id").agg(F.max("cost").alias("most"), F.count(F.lit(1)).alias("n"))
+        limits = reached.join(wanted, "start_id").where("n = size(goals)").select("start_id", "most")
+        step = front.join(steps, "node").select("start_id", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("node").alias("parent"))
+        step = step.groupBy("start_id", "node").agg(F.min(F.struct("cost", "parent")).alias("new")).join(limits, "start_id", "left").where("most is null or new.cost < most").drop("most")
+        old = best.select("start_id", "node", F.col("cost").alias("old"))
+        moved = written(step.join(old, ["start_id", "node"], "left").where("old is null or new.cost < old").select("start_id", "node", "new.cost", "new.parent"), "front")
+        if not moved.limit(1).count():
+            discard(moved)
             break
-    goal = p.join(best, (p["pair_index"] == best["pair_index"]) & (F.col("goal_id") == F.col("node"))).select(p["pair_index"], "cost", F.col("parent").alias("at"), F.array("goal_id").alias("path"))
-    trail = written(goal, "trail")
+        now = written(best.join(moved, ["start_id", "node"], "left_anti").unionByName(moved), "best")
+        discard(best, front)
+        best, front = now, moved
+    trail = written(goals.join(best, ["start_id", "node"]).select("start_id", F.col("node").alias("goal_id"), "cost", F.col("parent").alias("at"), F.array("node").alias("path")), "trail")
+    back = best.select("start_id", F.col("node").alias("at"), F.col("parent").alias("up"))
     while trail.where("at is not null").limit(1).count():
-        back = best.select("pair_index", F.col("node").alias("at"), F.col("parent").alias("up"))
-        trail = written(trail.join(back, ["pair_index", "at"], "left").select("pair_index", "cost", F.col("up").alias("next"), F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path")).withColumnRenamed("next", "at"), "trail")
-    return trail.select("pair_index", "cost", F.lit(None).cast("long").alias("settled"), "path")
+        longer = trail.join(back, ["start_id", "at"], "left").select("start_id", "goal_id", "cost", F.col("up").alias("at"), F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path"))
+        trail, before = written(longer, "trail"), trail
+        discard(before)
+    return trail.select("start_id", "goal_id", "cost", "path")
 
 
 def path_points(paths: DataFrame, nodes: DataFrame, scene: Scene, frame: Frame) -> DataFrame:

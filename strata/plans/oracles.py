@@ -155,7 +155,7 @@ PARTS: dict[str, str] = {
                s_nationkey * 0.05::DOUBLE AS radius FROM supplier""",
     "prs": """
         SELECT CAST(o_orderkey AS BIGINT) AS pair_index, (o_orderkey * 29 % 91) * 0.1::DOUBLE AS sx, (o_orderkey * 13 % 61) * 0.1::DOUBLE AS sy, 3.0::DOUBLE * (o_orderkey % 3) AS sz,
-               (o_custkey * 31 % 91) * 0.1::DOUBLE AS gx, (o_custkey * 19 % 61) * 0.1::DOUBLE AS gy, 3.0::DOUBLE * (o_custkey % 3) AS gz FROM orders WHERE o_orderkey < 40""",
+               (o_custkey * 31 % 91) * 0.1::DOUBLE AS gx, (o_custkey * 19 % 61) * 0.1::DOUBLE AS gy, 3.0::DOUBLE * (o_custkey % 3) AS gz FROM orders""",
     "nxy": 'SELECT n.*, (col - dim_x / 2.0::DOUBLE) * 0.1::DOUBLE + center_x AS x, ("row" - dim_y / 2.0::DOUBLE) * 0.1::DOUBLE + center_y AS y FROM nod n, hdr',
     "end_": "SELECT pair_index, 's' AS e, sx AS x, sy AS y, sz AS z FROM prs UNION ALL SELECT pair_index, 'g', gx, gy, gz FROM prs",
     "nea": """
@@ -174,21 +174,30 @@ PARTS: dict[str, str] = {
                    row_number() OVER (PARTITION BY query_id ORDER BY greatest(abs(n."row" - q."row"), abs(n.col - q.col)), (n."row" - q."row") ** 2 + (n.col - q.col) ** 2, trav, n."row" - q."row", n.col - q.col) AS k
             FROM grd q JOIN nod n ON n.layer = q.layer WHERE greatest(abs(n."row" - q."row"), abs(n.col - q.col)) <= 80
         ) WHERE k = 1""",
+    "snx": """
+        SELECT x, y, z, min({'d': d2, 'n': node_id}).n AS node_id FROM (
+            SELECT w.x, w.y, w.z, n.node_id, round((w.x - n.x) ** 2 + (w.y - n.y) ** 2 + (w.z - n.elev_g) ** 2, 9) AS d2 FROM (SELECT DISTINCT x, y, z FROM end_) w, nxy n
+        ) GROUP BY x, y, z""",
     "snp": """
-        SELECT pair_index, max(CASE WHEN e = 's' THEN node_id END) AS start_id, max(CASE WHEN e = 'g' THEN node_id END) AS goal_id FROM (
-            SELECT pair_index, e, node_id, row_number() OVER (PARTITION BY pair_index, e ORDER BY round((w.x - n.x) ** 2 + (w.y - n.y) ** 2 + (w.z - n.elev_g) ** 2, 9), node_id) AS k FROM end_ w, nxy n
-        ) WHERE k = 1 GROUP BY pair_index""",
-    "pth": """
-        SELECT pair_index, start_id AS node, 0::DOUBLE AS cost FROM snp
-        UNION
-        SELECT x.pair_index, e.dst, min(x.cost + e.weight) FROM pth x JOIN edg e ON e.src = x.node LEFT JOIN recurring.pth r ON r.pair_index = x.pair_index AND r.node = e.dst
-        WHERE r.cost IS NULL OR x.cost + e.weight < r.cost - 1e-12 GROUP BY x.pair_index, e.dst""",
-    "cos": "SELECT s.pair_index, cost FROM snp s JOIN pth p ON p.pair_index = s.pair_index AND p.node = s.goal_id",
+        SELECT pair_index, max(CASE WHEN e = 's' THEN node_id END) AS start_id, max(CASE WHEN e = 'g' THEN node_id END) AS goal_id FROM end_ JOIN snx USING (x, y, z) GROUP BY pair_index""",
+    "gre": """
+        SELECT x, y, z, CAST(greatest(0, (SELECT count(*) FROM hts WHERE h <= z) - 1) AS INTEGER) AS layer,
+               CAST(round_even((y - center_y) / 0.1::DOUBLE + dim_y / 2.0::DOUBLE, 0) AS INTEGER) AS "row", CAST(round_even((x - center_x) / 0.1::DOUBLE + dim_x / 2.0::DOUBLE, 0) AS INTEGER) AS col
+        FROM (SELECT DISTINCT x, y, z FROM end_), hdr""",
+    "grn": """
+        SELECT x, y, z, min({'r': greatest(abs(n."row" - q."row"), abs(n.col - q.col)), 'd': (n."row" - q."row") ** 2 + (n.col - q.col) ** 2, 't': trav, 'a': n."row" - q."row", 'b': n.col - q.col, 'n': node_id}).n AS node_id
+        FROM gre q JOIN nod n ON n.layer = q.layer WHERE greatest(abs(n."row" - q."row"), abs(n.col - q.col)) <= 80 GROUP BY x, y, z""",
+    "grp": """
+        SELECT * FROM (SELECT pair_index, max(CASE WHEN e = 's' THEN node_id END) AS start_id, max(CASE WHEN e = 'g' THEN node_id END) AS goal_id FROM end_ JOIN grn USING (x, y, z) GROUP BY pair_index)
+        WHERE start_id IS NOT NULL AND goal_id IS NOT NULL""",
+    "unq": "SELECT r.* FROM reg r, (SELECT kept FROM ded ORDER BY step DESC LIMIT 1) WHERE list_contains(kept, id)",
+    "iun": """
+        SELECT *, CASE WHEN min_z - max(max_z) OVER (ORDER BY min_z, max_z, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0.5::DOUBLE THEN 0 ELSE 1 END AS opens FROM unq""",
     "wpr": "SELECT s.pos AS spos, s.name AS sname, s.x AS sx, s.y AS sy, s.z AS sz, g.pos AS gpos, g.name AS gname, g.x AS gx, g.y AS gy, g.z AS gz FROM way s JOIN way g ON s.pos < g.pos",
     "wlb": "SELECT pos, label FROM nea JOIN com ON node = node_id",
     "rch": "SELECT spos, gpos, sname, gname, a.label = b.label AS reachable FROM wpr JOIN wlb a ON a.pos = spos JOIN wlb b ON b.pos = gpos",
 }
-KEYED = {"com": "(node, label) USING KEY (node)", "fco": "(node, label) USING KEY (node)", "pth": "(pair_index, node, cost) USING KEY (pair_index, node)"}
+KEYED = {"com": "(node, label) USING KEY (node)", "fco": "(node, label) USING KEY (node)"}
 
 BOX = ", ".join(map(R6, ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z", "center_x", "center_y", "center_z", "size_x", "size_y", "size_z", "height_mean")))
 _CORNERS = [("min", "min", "min"), ("max", "min", "min"), ("max", "max", "min"), ("min", "max", "min"), ("min", "min", "max"), ("max", "min", "max"), ("max", "max", "max"), ("min", "max", "max")]
@@ -266,7 +275,31 @@ QUERIES: dict[str, str] = {
     "world_to_grid": 'SELECT query_id, layer, "row", col FROM grd',
     "ring_snap": "SELECT query_id, node_id, round(sqrt(d2), 9) AS dist FROM rin",
     "snapped_pairs": "SELECT pair_index, start_id, goal_id FROM snp",
-    "path_costs": f"SELECT pair_index, {R6('cost')} FROM cos",
+    "snapped_pairs_grid": "SELECT pair_index, start_id, goal_id FROM grp",
+    "path_ends": "SELECT s.pair_index, start_id, goal_id FROM snp s JOIN com a ON a.node = start_id JOIN com b ON b.node = goal_id WHERE a.label = b.label",
+    "planned_legs": """
+        SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS INTEGER) AS leg, label = next_label AS planned
+        FROM (SELECT pos, label, lead(label) OVER (ORDER BY pos) AS next_label FROM wlb) WHERE next_label IS NOT NULL""",
+    "region_summary": """
+        SELECT n AS total_nodes, n AS active_nodes, (SELECT count(DISTINCT component) FROM fcm) AS flat_components, r AS large_components, r AS regions_before_dedup, u AS regions_after_dedup,
+               u AS regions_before_merge, m AS regions_after_merge, m AS output_regions
+        FROM (SELECT count(*) AS n FROM nod), (SELECT count(*) AS r FROM reg), (SELECT count(*) AS u, CAST(sum(opens) AS BIGINT) AS m FROM iun)""",
+    "cloud_file": f"SELECT {R6('x')}, {R6('y')}, {R6('z')} FROM pts",
+    "map_file": """
+        SELECT node_id, layer, "row", col, round(CAST(CAST(trav AS FLOAT) AS DOUBLE), 9) AS trav, round(CAST(CAST(elev_g AS FLOAT) AS DOUBLE), 9) AS elev_g,
+               round(CAST(CAST(elev_c AS FLOAT) AS DOUBLE), 9) AS elev_c, gateway FROM nod""",
+    "map_header_file": """
+        SELECT 'tomogram_sparse_v1' AS format, k || ',' || dim_y || ',' || dim_x AS shape, 0.1::DOUBLE AS resolution, slice_h0, 0.5::DOUBLE AS slice_dh, CAST(k AS INTEGER) AS layers
+        FROM hdr, (SELECT count(*) AS k FROM kep)""",
+    "dense_file": f"SELECT s, cx, cy, {R6('g')}, round(CASE WHEN c < 1e6 THEN c END, 9) AS c, {R6('t')} FROM inf WHERE occ",
+    "waypoints_file": f"SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, name, {R6('x')}, {R6('y')}, {R6('z')}, {R6('radius')} FROM way",
+    "pairs_file": """
+        SELECT row_number() OVER (ORDER BY pos) - 1 AS pair_index, round(x, 9) AS sx, round(y, 9) AS sy, round(z, 9) AS sz, round(x2, 9) AS gx, round(y2, 9) AS gy, round(z2, 9) AS gz, pos AS task
+        FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM way WINDOW w AS (ORDER BY pos)) WHERE x2 IS NOT NULL""",
+    "path_file": f"SELECT {R6('x')}, {R6('y')}, {R6('z')} FROM way",
+    "regions_file": """
+        SELECT id, component_id, node_count, round(height_mean, 9) AS height_mean, round(min_z, 9) AS height_min, round(max_z, 9) AS height_max, round(min_x, 9) AS min_x, round(max_x, 9) AS max_x,
+               round(min_y, 9) AS min_y, round(max_y, 9) AS max_y, round(min_z, 9) AS min_z, round(max_z, 9) AS max_z, round(center_x, 9) AS center_x, round(center_y, 9) AS center_y, round(center_z, 9) AS center_z, slices FROM reg""",
     "failed_pairs": "SELECT s.pair_index FROM snp s JOIN com a ON a.node = start_id JOIN com b ON b.node = goal_id WHERE a.label <> b.label",
     "batch_success": "SELECT count(*) AS pairs, count(CASE WHEN a.label = b.label THEN 1 END) AS planned FROM snp s JOIN com a ON a.node = start_id JOIN com b ON b.node = goal_id",
     "event_path_lengths": """

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.config import Frame, Scene
 from strata.operators import graph, grid, layers, regions, route, stencil
 from strata.schema import FORMAT, HEADER
 from strata.session import written
+from strata.sources.files import nth_pair, waypoint_by_name
 
 
 @dataclasses.dataclass
@@ -96,12 +97,33 @@ def region_report(m: Map, source: str = "") -> DataFrame:
 
 
 def planned_paths(m: Map, pairs: DataFrame, mode: str = "nearest") -> tuple[DataFrame, DataFrame]:
-    """Paths (pair_index, cost, settled, path) and their points."""
+    """Paths (pair_index, cost, path) and their points."""
     snapped = route.snapped_pairs(pairs, m.nodes, m.scene, m.frame, mode, m.heights)
     paths = written(route.search_paths(snapped, m.nodes, graph.graph_edges(m.nodes, m.scene, m.frame)), "paths")
     return paths, route.path_points(paths, m.nodes, m.scene, m.frame)
 
 
+def requested_pairs(spark: SparkSession, start=None, goal=None, waypoints: DataFrame | None = None, pairs: DataFrame | None = None, index: int | None = None) -> DataFrame:
+    """The pairs of a request: all pairs of a table, the one of an index, or a start and a goal, each a place (x, y, z) or the name of a waypoint."""
+    if start is None and goal is None:
+        if pairs is None:
+            raise ValueError("neither a start and a goal nor pairs")
+        return pairs if index is None else nth_pair(pairs, index)
+    if start is None or goal is None:
+        raise ValueError("a start needs a goal, and a goal a start")
+
+    def place(p) -> tuple[float, float, float]:
+        if isinstance(p, str):
+            if waypoints is None:
+                raise ValueError(f"no waypoints to look up {p!r}")
+            return waypoint_by_name(waypoints, p)
+        if len(p) != 3:
+            raise ValueError(f"a place needs three numbers: {p}")
+        return tuple(map(float, p))
+
+    return spark.createDataFrame([(0, *place(start), *place(goal), {})], "pair_index long, sx double, sy double, sz double, gx double, gy double, gz double, extra map<string,string>")
+
+
 def planned_route(m: Map, waypoints: DataFrame) -> DataFrame:
     """One trajectory through all waypoints in order, or no row if a leg has no path."""
     legs = written(route.waypoint_legs(waypoints).withColumnRenamed("leg", "pair_index"), "legs")

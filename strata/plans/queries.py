@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strata.operators import graph, grid, layers, regions, route, stencil, views
 from strata.plans import pipelines as p
-from strata.sources import adapters as a
+from strata.session import fresh_path
+from strata.sources import adapters as a, files, pcd
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,3 +380,113 @@ def sparse_cloud_view(spark, sf_dir):
 @query
 def raw_cloud_view(spark, sf_dir):
     return tidy(views.raw_cloud(a.points(spark, sf_dir)))
+
+
+@query
+def snapped_pairs_grid(spark, sf_dir):
+    m = _nodes(spark, sf_dir)
+    return route.snapped_pairs(a.pairs(spark, sf_dir), m.nodes, a.SCENE, m.frame, "grid", m.heights)
+
+
+@query
+def path_ends(spark, sf_dir):
+    paths, _ = p.planned_paths(_nodes(spark, sf_dir), a.pairs(spark, sf_dir))
+    return paths.select("pair_index", F.element_at("path", 1).alias("start_id"), F.element_at("path", -1).alias("goal_id"))
+
+
+@query
+def planned_legs(spark, sf_dir):
+    """Which legs of the route through all waypoints have a path."""
+    legs = route.waypoint_legs(a.waypoints(spark, sf_dir)).withColumnRenamed("leg", "pair_index")
+    paths, _ = p.planned_paths(_nodes(spark, sf_dir), legs)
+    return legs.join(paths.select("pair_index", F.lit(True).alias("ok")), "pair_index", "left").select(F.col("pair_index").alias("leg"), F.coalesce("ok", F.lit(False)).alias("planned"))
+
+
+@query
+def planned_route(spark, sf_dir):
+    return tidy(p.planned_route(_nodes(spark, sf_dir), a.waypoints(spark, sf_dir)))
+
+
+@query
+def visited_nodes(spark, sf_dir):
+    """How many nodes the search for each leg settles; no more than the component has, and no fewer than the path."""
+    m = _nodes(spark, sf_dir)
+    legs = route.waypoint_legs(a.waypoints(spark, sf_dir)).withColumnRenamed("leg", "pair_index")
+    snapped = route.snapped_pairs(legs, m.nodes, m.scene, m.frame)
+    return route.visited_nodes(snapped, m.nodes, graph.graph_edges(m.nodes, m.scene, m.frame)).groupBy("pair_index").agg(F.count(F.lit(1)).alias("settled"))
+
+
+@query
+def region_summary(spark, sf_dir):
+    r = p.region_report(_nodes(spark, sf_dir), "adapter")
+    return r.select("summary.*")
+
+
+@query
+def cloud_file(spark, sf_dir):
+    path = fresh_path(spark, "cloud")
+    pcd.write_pcd(a.points(spark, sf_dir), path)
+    return tidy(pcd.read_pcd(spark, f"{path}/part-*"))
+
+
+@query
+def map_file(spark, sf_dir):
+    m, path = _nodes(spark, sf_dir), fresh_path(spark, "map")
+    files.write_map(m.header(), m.nodes, path)
+    return tidy(files.read_map(spark, path)[1])
+
+
+@query
+def map_header_file(spark, sf_dir):
+    m, path = _nodes(spark, sf_dir), fresh_path(spark, "map")
+    files.write_map(m.header(), m.nodes, path)
+    header = files.read_map(spark, path)[0]
+    return header.select("format", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"), "resolution", "slice_h0", "slice_dh", F.size("slice_heights").alias("layers"))
+
+
+@query
+def dense_file(spark, sf_dir):
+    path = fresh_path(spark, "dense")
+    _, costs = p.costed(a.points(spark, sf_dir), a.SCENE)
+    channels = F.explode(F.array(*(F.struct(F.lit(k).alias("channel"), F.col(v).alias("value")) for k, v in ((0, "t"), (3, "g"), (4, "c"))))).alias("v")
+    costs.select("s", "cx", "cy", channels).select("v.channel", "s", "cy", "cx", "v.value").write.parquet(path)
+    return tidy(files.read_dense(spark, path))
+
+
+def _one_document(rows: DataFrame, order: str, *record) -> DataFrame:
+    """A JSON list of all rows, as such files are: of waypoints, legs or regions, not of anything that grows with a cloud."""
+    return rows.agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*record).alias("r")))).alias("all")).select(F.to_json(F.transform("all", lambda x: x["r"])).alias("json"))
+
+
+@query
+def waypoints_file(spark, sf_dir):
+    path = fresh_path(spark, "waypoints")
+    files.write_json_lines(_one_document(a.waypoints(spark, sf_dir), "pos", "name", F.array("x", "y", "z").alias("pose"), "radius"), path)
+    return tidy(files.read_waypoints(spark, path))
+
+
+@query
+def pairs_file(spark, sf_dir):
+    path = fresh_path(spark, "pairs")
+    legs = route.waypoint_legs(a.waypoints(spark, sf_dir))
+    files.write_json_lines(_one_document(legs, "leg", F.array("sx", "sy", "sz").alias("start"), F.array("gx", "gy", "gz").alias("goal"), F.col("from_pos").alias("task")), path)
+    back = files.read_pairs(spark, path)
+    return tidy(back.withColumn("task", F.col("extra")["task"].cast("long")).drop("extra"))
+
+
+@query
+def path_file(spark, sf_dir):
+    path = fresh_path(spark, "path") + ".csv"
+    files.write_path(a.waypoints(spark, sf_dir).withColumnRenamed("pos", "seq"), path)
+    return tidy(files.read_path(spark, path))
+
+
+@query
+def regions_file(spark, sf_dir):
+    path = fresh_path(spark, "regions")
+    large = p.large_regions(_nodes(spark, sf_dir))
+    listed = large.agg(F.array_sort(F.collect_list(regions.region_struct())).alias("regions"))
+    files.write_json_lines(listed.select(F.to_json(F.struct("regions")).alias("json")), path)
+    r = files.read_regions(spark, path).select(F.explode("regions").alias("r")).select("r.*")
+    flat = r.select("id", "component_id", "node_count", "height_mean", "height_min", "height_max", "bbox.*", F.col("center.x").alias("center_x"), F.col("center.y").alias("center_y"), F.col("center.z").alias("center_z"), "slices")
+    return tidy(flat)

@@ -28,11 +28,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests) a folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process, as in tests, a folder of this machine stands in."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), f"strata-shared-{spark.sparkContext.applicationId}")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     spark.sparkContext.setCheckpointDir(f"file://{own}")

@@ -35,7 +35,7 @@ def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "orders").where("o_orderkey < 40")
+    t = table(spark, sf_dir, "orders")
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     point = lambda k, a, b: (((k * a % 91) * F.lit(0.1)), ((k * b % 61) * F.lit(0.1)), F.lit(3.0) * (k % 3))
     (sx, sy, sz), (gx, gy, gz) = point(o, 29, 13), point(c, 31, 19)

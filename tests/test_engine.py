@@ -172,6 +172,107 @@ def test_ring_snap_stops_at_the_first_ring(spark):
     assert [(r.query_id, r.node_id, round(r.dist, 6)) for r in route.ring_snap(q, n, SCENE).collect()] == [(7, 0, round(math.sqrt(2), 6))]
 
 
+def test_nearest_node_equals_all_pairs(spark):
+    r = random.Random(4)
+    f = frame(40, 40)
+    n = nodes(spark, [(r.randint(0, 2), r.randint(0, 39), r.randint(0, 39), 0.0, r.choice([0.0, 0.4, 3.0]), None, 0) for _ in range(150)])
+    places = [(i, r.uniform(-2, 2), r.uniform(-2, 2), r.choice([0.0, 1.5, 3.0])) for i in range(80)] + [(80, 90.0, -70.0, 5.0), (81, 0.0, 0.0, 0.0), (82, 0.0, 0.0, 0.0)]
+    got = {x.query_id: (x.node_id, round(x.dist, 6)) for x in route.nearest_node(spark.createDataFrame([*places, (99, None, 0.0, 0.0)], "query_id long, x double, y double, z double"), n, f).collect()}
+    at = [(x.node_id, *f_xy, x.elev_g) for x in n.collect() for f_xy in [((x.col - 20.0) * 0.1, (x.row - 20.0) * 0.1)]]
+    for i, x, y, z in places:
+        d, k = min((round((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2, 9), k) for k, a, b, c in at)
+        assert got[i] == (k, round(math.sqrt(d), 6))
+    assert 99 not in got and route.nearest_node(spark.createDataFrame(places, "query_id long, x double, y double, z double"), n.limit(0), f).count() == 0
+
+
+def test_ring_snap_equals_all_pairs(spark):
+    r = random.Random(6)
+    rows = [(r.randint(0, 1), r.randint(0, 120), r.randint(0, 120), r.choice([0.0, 5.0, 40.0]), 0.0, None, 0) for _ in range(60)]
+    cells = [(i, r.randint(0, 1), r.randint(-5, 125), r.randint(-5, 125)) for i in range(60)] + [(60, 0, 400, 400)]
+    got = {x.query_id: x.node_id for x in route.ring_snap(spark.createDataFrame(cells, "query_id long, layer int, row int, col int"), nodes(spark, rows), SCENE).collect()}
+    for i, layer, y, x in cells:
+        near = [(max(abs(n[1] - y), abs(n[2] - x)), (n[1] - y) ** 2 + (n[2] - x) ** 2, n[3], n[1] - y, n[2] - x, k) for k, n in enumerate(rows) if n[0] == layer and n[3] <= 35]
+        near = [k for k in near if k[0] <= SCENE.snap_radius]
+        assert got.get(i) == (min(near)[-1] if near else None)
+
+
+def plain_dijkstra(edges, start):
+    cost, todo = {start: 0.0}, [(0.0, start)]
+    while todo:
+        c, u = todo.pop(todo.index(min(todo)))
+        for a, b, w in edges:
+            if a == u and c + w < cost.get(b, math.inf):
+                cost[b] = c + w
+                todo.append((c + w, b))
+    return cost
+
+
+@pytest.mark.parametrize("heuristic", ["octile", "euclidean"])
+def test_path_costs_equal_a_plain_search(spark, heuristic):
+    r = random.Random(2)
+    n = nodes(spark, [(0, y, x, r.choice([0.0, 3.0]), r.choice([0.0, 0.2]), None, 0) for y in range(7) for x in range(7) if r.random() < 0.7])
+    f = frame(7, 7)
+    edges = graph.graph_edges(n, SCENE, f)
+    plain = [(e.src, e.dst, e.weight) for e in edges.collect()]
+    last = n.count() - 1
+    pairs = [(i, r.randint(0, last), r.randint(0, last)) for i in range(60)]
+    d = spark.createDataFrame(pairs, "pair_index long, start_id long, goal_id long")
+    got = {x.pair_index: x for x in route.search_paths(d, n, edges, heuristic=heuristic).collect()}
+    weight = {(a, b): w for a, b, w in plain}
+    for i, s, g in pairs:
+        cost = plain_dijkstra(plain, s).get(g)
+        assert (cost is None) == (i not in got)
+        if cost is not None:
+            assert math.isclose(got[i].cost, cost, abs_tol=1e-9) and (got[i].path[0], got[i].path[-1]) == (s, g)
+            assert math.isclose(sum(weight[e] for e in zip(got[i].path, got[i].path[1:], strict=False)), cost, abs_tol=1e-9)
+    seen = route.visited_nodes(d.limit(5), n, edges, heuristic).groupBy("pair_index").agg(F.collect_set("node_id").alias("v")).collect()
+    assert all({*got[x.pair_index].path} <= {*x.v} for x in seen)
+
+
+def test_overlaps_equal_all_pairs(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(40):
+        x, z = r.uniform(0, 20), r.choice([0.0, 1.0, 2.0])
+        rows.append(box(i, r.randint(1, 9), x, x + r.choice([0.0, 0.5, 3.0, 15.0]), z, z + r.choice([0.0, 1.5])))
+    side = lambda p, q, v: max(0.0, min(p[f"max_{v}"], q[f"max_{v}"]) - max(p[f"min_{v}"], q[f"min_{v}"]))
+    size = lambda p: math.prod(p[f"max_{v}"] - p[f"min_{v}"] for v in "xyz")
+    shared = {(p["id"], q["id"]): math.prod(side(p, q, v) for v in "xyz") / max(1e-12, size(p) + size(q) - math.prod(side(p, q, v) for v in "xyz")) for p in rows for q in rows if p["id"] < q["id"]}
+    got = {(x.a, x.b): x.iou for x in regions.iou_pairs(spark.createDataFrame(rows)).collect()}
+    assert got.keys() == {k for k, v in shared.items() if v > 0} and all(math.isclose(v, shared[k]) for k, v in got.items())
+    kept = []
+    for p in sorted(rows, key=lambda p: (-p["node_count"], p["id"])):
+        if all(shared[min(p["id"], k), max(p["id"], k)] <= 0.1 for k in kept):
+            kept.append(p["id"])
+    assert [x.component_id[0] for x in regions.deduplicate(spark.createDataFrame(rows), 0.1).orderBy("id").collect()] == kept
+
+
+def test_requests_by_place_name_and_index(spark):
+    w = spark.createDataFrame([(0, "a", 1.0, 2.0, 3.0), (1, "b", 4.0, 5.0, 6.0)], "pos long, name string, x double, y double, z double")
+    every = spark.createDataFrame([(0, 0.0), (1, 1.0)], "pair_index long, sx double")
+    assert tuple(pipelines.requested_pairs(spark, "b", (7, 8, 9), w).first())[:7] == (0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0)
+    assert pipelines.requested_pairs(spark, pairs=every).count() == 2 and pipelines.requested_pairs(spark, pairs=every, index=1).first().sx == 1.0
+    with pytest.raises(KeyError, match="'a'"):
+        pipelines.requested_pairs(spark, "c", "a", w)
+    for bad in ({}, {"start": "a"}, {"start": (1, 2), "goal": (1, 2, 3)}, {"start": "a", "goal": "b"}):
+        with pytest.raises(ValueError):
+            pipelines.requested_pairs(spark, **bad)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from strata import session
+
+    class Elsewhere:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = Elsewhere
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session)
+
+
 def test_paths_agree_with_relaxation(spark):
     r = random.Random(1)
     n = nodes(spark, [(0, y, x, r.choice([0.0, 3.0]), r.choice([0.0, 0.2]), None, 0) for y in range(6) for x in range(6) if r.random() < 0.85])
