@@ -57,11 +57,22 @@ def known() -> regex.Pattern:
     return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]*+")
 
 
-def lowered(text: str) -> str:
-    """The text in NFC and lower case, as the library's normalizers make it; its tables are older than Python's."""
+def alike(text: str) -> bool:
+    """Do all libraries agree on the characters of the text?"""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")  # the quickest test that most other texts of Europe pass
+    except UnicodeEncodeError:
+        return known().fullmatch(text) is not None
+    return True
+
+
+def lowered(text: str, sure: bool = False) -> str:
+    """The text in NFC and lower case, as the library's normalizers make it; its tables are older than Python's. sure: it is alike()."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFC", text) if known().fullmatch(text) else NFC().normalize_str(text)
+    text = unicodedata.normalize("NFC", text) if sure or alike(text) else NFC().normalize_str(text)
     return text.replace("Σ", "σ").lower()
 
 

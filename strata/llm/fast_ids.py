@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
-from strata.llm.bpe import BYTE_PATTERN, byte_letters, known, lowered
+from strata.llm.bpe import BYTE_PATTERN, alike, byte_letters, lowered
 
 #: White space apart from what RE2's \s holds: fixed values, the property White_Space without U+0009 to U+000D and U+0020.
 OTHER_SPACE = "\\x{0B}\\x{85}\\p{Z}"
@@ -64,13 +64,13 @@ class FastIds:
     def _slow(self, text: str) -> bool:
         if any(s in text for s in self.special):
             return True
-        return self.words and ("\0" in text or not (text.isascii() or known().fullmatch(text)))
+        return self.words and ("\0" in text or not alike(text))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, without special tokens at its ends."""
         slow = [self._slow(t) for t in texts]
         if self.words:
-            low = ["" if s else lowered(t) for t, s in zip(texts, slow, strict=True)]
+            low = ["" if s else lowered(t, True) for t, s in zip(texts, slow, strict=True)]
             marked = pc.replace_substring_regex(pa.array(low, pa.large_string()), pattern=PIECES, replacement="\\0\0").to_pylist()
         else:
             marked = texts
