@@ -39,39 +39,41 @@ def features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0))], axis=1) * np.sqrt(np.tile(size, 2))
 
 
+def upper(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bounds on the scores of all pairs from their features, widened by what rounding can take away."""
+    bound = x @ y.T
+    return bound + 1e-6 * (1 + np.abs(bound))
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int = K) -> tuple[list, list, list]:
     """query id, candidate id, score: the k best of each query among these candidates, without its own row."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     coarse_c, fine_c = features(c, LEVELS[0]), features(c, LEVELS[1])
-    out: tuple[list, list, list] = ([], [], [])
     # doubles are exact while no sum can reach 2^53; else the scores are those of 64-bit integers
     kind = np.float64 if float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1] < 1 << 53 else np.int64
-    c = c.astype(kind, copy=False)
+    c, few = c.astype(kind, copy=False), min(4 * k, len(c))
+    out: tuple[list, list, list] = ([], [], [])
     for i in range(0, len(q), 128):
-        part = q[i : i + 128]
-        bound = features(part, LEVELS[0]) @ coarse_c.T
-        bound += 1e-6 * (1 + np.abs(bound))
-        fine_q = features(part, LEVELS[1])
-        for j, own in enumerate(q_ids[i : i + 128]):
-            b = bound[j]
-            b[c_ids == own] = -np.inf
-            few = min(4 * k, len(b))
-            first = np.argpartition(b, len(b) - few)[len(b) - few :]
-            first = first[b[first] > -np.inf]
-            if not len(first):
-                continue
-            asked = part[j].astype(kind, copy=False)
-            exact = c[first] @ asked
-            least = np.sort(exact)[-k] if len(exact) >= k else -np.inf
-            left = np.flatnonzero((b >= least) & (b > -np.inf))
-            fine = fine_c[left] @ fine_q[j]
-            left = left[fine + 1e-6 * (1 + np.abs(fine)) >= least]
-            exact = c[left] @ asked
-            best = np.lexsort((left, -exact))[:k]  # candidates are in order of their ids
-            out[0].extend([own] * len(best))
-            out[1].extend(c_ids[left[best]])
-            out[2].extend(exact[best].astype(np.int64))
+        part, own = q[i : i + 128], q_ids[i : i + 128]
+        asked = part.astype(kind, copy=False)
+        bound = upper(features(part, LEVELS[0]), coarse_c)
+        bound[own[:, None] == c_ids] = -np.inf
+        # the k-th best score of those that promise most: what can't reach it drops out, by the coarse bound and then by the fine one
+        first = np.argpartition(bound, len(c) - few, axis=1)[:, len(c) - few :]
+        some = np.einsum("qfd,qd->qf", c[first], asked).astype(float)
+        some[np.take_along_axis(bound, first, 1) == -np.inf] = -np.inf
+        least = np.sort(some, axis=1)[:, [-k]] if few >= k else np.full((len(part), 1), -np.inf)
+        left = (bound >= least) & (bound > -np.inf)
+        left &= upper(features(part, LEVELS[1]), fine_c) >= least
+        columns = np.flatnonzero(left.any(axis=0))
+        exact = asked @ c[columns].T
+        for own_id, row, kept in zip(own.tolist(), exact, left[:, columns], strict=True):
+            at = np.flatnonzero(kept)
+            best = at[np.lexsort((at, -row[at]))[:k]]  # candidates are in order of their ids
+            out[0].extend([own_id] * len(best))
+            out[1].extend(c_ids[columns[best]].tolist())
+            out[2].extend(row[best].astype(np.int64).tolist())
     return out
 
 
