@@ -23,6 +23,9 @@ LEVEL = 3
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: (from so many bytes on, lowest ratio, highest ratio). Prose compresses better the longer it is, so both limits rise.
+#: Set by hand around the ratios of the 9,066 documents of sf0.1 that pass the base rule: the lower limits lie a fifth or
+#: more under the least of them, the upper ones at about their 99.9th percentile (98th in the band from 256 bytes on, where
+#: repeated text reaches 5.5). 20 of those documents fall outside.
 BANDS = (
     (0, 0.0, 2.3),
     (256, 1.1, 2.25),
