@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from strata.config import Frame, Scene
 from strata.functions.coords import flat_id, node_x, node_y
-from strata.operators.graph import HALF, _moved, _target, active
+from strata.operators.graph import active
 from strata.operators.graph_core import LOCAL_EDGES, connected_components
 from strata.operators.stencil import ground_slope
+from strata.session import written
+
+STRETCH = 64
 
 BOX = ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z")
 
@@ -20,11 +23,21 @@ def flat_cells(nodes: DataFrame, scene: Scene, frame: Frame) -> DataFrame:
 
 
 def flat_components(flat: DataFrame, frame: Frame) -> DataFrame:
-    """The flat cells with component: 8-connected within a layer, numbered from 0 by layer and first cell in scan order."""
-    n = flat.select("node_id", "layer", "row", "col", "elev_g").withColumn("trav", F.lit(0.0))
-    links = _moved(n, HALF).join(_target(n), ["layer", "row", "col"]).select("src", "dst")
-    label = connected_components(links, local_limit=LOCAL_EDGES).withColumnRenamed("node", "node_id")
-    labelled = flat.join(label, "node_id", "left").withColumn("root", F.coalesce("component", "node_id")).drop("component")
+    """The flat cells with component: 8-connected within a layer, numbered from 0 by layer and first cell in scan order.
+
+    Cells side by side in a row are one run, told by its least node. Runs of neighbouring rows that touch are linked, and
+    meet in stretches of STRETCH columns; so the graph has as many edges as runs touch, not as cells do.
+    """
+    gap = F.col("col") - F.row_number().over(Window.partitionBy("layer", "row").orderBy("col"))
+    cells = flat.withColumn("gap", gap).withColumn("run", F.min("node_id").over(Window.partitionBy("layer", "row", "gap"))).drop("gap")
+    cells = written(cells, "runs")
+    runs = cells.groupBy("layer", "row", "run").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    stretch = lambda low, high: F.explode(F.sequence(F.floor(low / STRETCH), F.floor(high / STRETCH))).alias("stretch")
+    upper = runs.select("layer", "row", F.col("run").alias("dst"), F.col("a").alias("a2"), F.col("b").alias("b2"), stretch(F.col("a"), F.col("b")))
+    lower = runs.select("layer", (F.col("row") + 1).alias("row"), F.col("run").alias("src"), "a", "b", stretch(F.col("a") - 1, F.col("b") + 1))
+    links = lower.join(upper, ["layer", "row", "stretch"]).where("a - 1 <= b2 and b + 1 >= a2").select("src", "dst")
+    label = connected_components(links, local_limit=LOCAL_EDGES).withColumnRenamed("node", "run")
+    labelled = cells.join(label, "run", "left").withColumn("root", F.coalesce("component", "run")).drop("component", "run")
     firsts = labelled.groupBy("layer", "root").agg(F.min(flat_id(frame)).alias("first"))
     # numbered within each layer, and layers one after another: no task sees more than a layer's components
     in_layer = F.row_number().over(Window.partitionBy("layer").orderBy("first")) - 1

@@ -229,6 +229,26 @@ def test_path_costs_equal_a_plain_search(spark, heuristic):
     assert all({*got[x.pair_index].path} <= {*x.v} for x in seen)
 
 
+def test_flat_components_equal_a_flood(spark):
+    r = random.Random(12)
+    cells = [(layer, y, x) for layer in range(2) for y in range(12) for x in range(140) if r.random() < (0.45, 0.7)[x > 60]]
+    rows = [(i, layer, y, x, 0.0, 0.1) for i, (layer, y, x) in enumerate(cells)]
+    d = spark.createDataFrame(rows, "node_id long, layer int, row int, col int, elev_g double, slope double")
+    left, want = set(cells), {}
+    for seed in cells:  # in order of layer, row, column, so components are met in the order of their numbers
+        if seed in left:
+            number, todo = len(set(want.values())), [seed]
+            left.remove(seed)
+            while todo:
+                layer, y, x = todo.pop()
+                want[layer, y, x] = number
+                near = [(layer, y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (layer, y + a, x + b) in left]
+                left.difference_update(near)
+                todo += near
+    got = {(c.layer, c.row, c.col): c.component for c in regions.flat_components(d, frame(140, 12)).collect()}
+    assert got == want
+
+
 def test_overlaps_equal_all_pairs(spark):
     r = random.Random(7)
     rows = []
