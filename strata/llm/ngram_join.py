@@ -308,7 +308,7 @@ def components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more), "a", "b", local_limit=LOCAL_EDGES).select(F.col("node").alias("id"), "component")
-    discard(found, members, anchors, first_pairs, unmarked, still, open_pairs)
+    discard(found, members, anchors, first_pairs, links, unmarked, still, open_pairs, more)
     linked = classes.select("digest", "n", F.col("one.row").alias("id"), "least", "copies").join(labels, "id", "left")
     alone, joined = linked.where("component is null"), linked.where("component is not null")
     heads = joined.groupBy("component").agg(F.min("least").alias("least"))
