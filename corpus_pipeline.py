@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import langid, ngram_join, packing, quality, secrets
 from strata.llm.queries import WORD_BPE
-from strata.session import ship, table, written
+from strata.session import discard, ship, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each is written as Parquet and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, "stage")
-    return docs
+            discard(*before)
+            before = [docs]
+    return docs  # the last stage may still read what the one before it wrote
