@@ -8,7 +8,9 @@ products.
 
 Learning takes a bounded sample: of the LANGUAGES most frequent languages the `per_language` rows of smallest hash that
 aren't held out, of each at most BAG passages, evenly spaced, and of those `landmarks` by hash, from as many documents as
-there are, as landmarks (documented parameters). Scoring takes whole texts, SCORED passages at a time.
+there are, as landmarks (documented parameters). With many languages each has an equal part of LEARNED rows and MARKS
+landmarks, so that the driver's memory is bounded: at most 2 KB for each passage, and sums over SCORED passages at a time.
+Scoring takes whole texts, SCORED passages at a time.
 
 A text is unlike every learned language if too few of its n-grams, beyond those that hash there by chance, are found in
 the landmarks of any one language. The share doesn't fall with the length of a text, so short texts stay. The limit is
@@ -39,6 +41,8 @@ PASSAGE = 1536
 PER_LANGUAGE = 200
 LANDMARKS = 32
 LANGUAGES = 500
+LEARNED = 8000  # rows learned from, over all languages
+MARKS = 2048  # landmarks, over all languages
 BAG = 32  # passages of a text that are learned from, evenly spaced
 SCORED = 512  # passages scored at once
 RIDGE = 1e-3
@@ -70,6 +74,11 @@ def presence(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return normalised(out), first
 
 
+def spread(packed: np.ndarray) -> np.ndarray:
+    """Normalised presence from packed bits, a row for each passage."""
+    return normalised(np.unpackbits(packed, axis=1))
+
+
 def normalised(bits: np.ndarray) -> np.ndarray:
     """Presence scaled so that the product of equal rows is 1."""
     out = bits.astype(np.float32)
@@ -90,7 +99,7 @@ class Kernel:
         return self.__dict__ | {"landmarks": np.packbits(self.landmarks > 0, axis=1)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, landmarks=normalised(np.unpackbits(state["landmarks"], axis=1)))
+        self.__dict__.update(state, landmarks=spread(state["landmarks"]))
 
     def values(self, texts: list[str]) -> np.ndarray:
         """A value for each text and language, by two matrix products over the passages."""
@@ -132,27 +141,41 @@ def likeness(phi: np.ndarray, kernel: np.ndarray, landmarks: np.ndarray, owner:
     return np.stack([share[:, owner == k].mean(1) for k in range(owner.max() + 1)], 1)
 
 
-def fit(phi: np.ndarray, y: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
-    """Nyström ridge regression: (CᵀC + n·ridge·K) w = CᵀY with C the kernel to the landmarks and K among them."""
+def fit(bits: np.ndarray, y: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
+    """Nyström ridge regression: (CᵀC + n·ridge·K) w = CᵀY with C the kernel to the landmarks and K among them, from packed passages.
+
+    C has a row for each passage and is never held: both products are summed over SCORED passages at a time.
+    """
+    landmarks = max(1, min(landmarks, MARKS // len(languages)))
     chosen = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])
-    marks = phi[chosen]
-    c = (phi @ marks.T).astype(float)
-    share = np.bincount(y, minlength=len(languages)) / len(y)
-    weight = (1 / (len(languages) * share))[y][:, None]  # languages count alike, however many rows they have
-    target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    k = (marks @ marks.T).astype(float)
-    w = np.linalg.solve(c.T @ (weight * c) + len(y) * ridge * k + 1e-6 * np.eye(len(k)), c.T @ (weight * target))
+    marks, owner = spread(bits[chosen]), y[chosen]
     # passages of the sample that are no landmarks; where there is none, nothing tells a limit, and none holds
     spare = np.ones(len(y), bool)
     spare[chosen] = False
-    like = likeness(phi[spare], c[spare], marks, y[chosen])[np.arange(spare.sum()), y[spare]] if spare.any() else np.zeros(1)
-    return Kernel(languages, marks, w.astype(np.float32), y[chosen], max(0.0, STRAY * float(np.quantile(like, 0.01))))
+    weight = 1 / (len(languages) * np.bincount(y, minlength=len(languages)) / len(y))  # languages count alike, however many rows they have
+    left, right, like = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(languages))), [np.zeros(0)]
+    for at in range(0, len(y), SCORED):
+        part = slice(at, at + SCORED)
+        phi, own, rest = spread(bits[part]), y[part], spare[part]
+        c = (phi @ marks.T).astype(float)
+        weighted = weight[own][:, None] * c
+        left += c.T @ weighted
+        right += weighted.T @ np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
+        if rest.any():
+            like.append(likeness(phi[rest], c[rest], marks, owner)[np.arange(rest.sum()), own[rest]])
+    k = (marks @ marks.T).astype(float)
+    w = np.linalg.solve(left + len(y) * ridge * k + 1e-6 * np.eye(len(k)), right)
+    least = STRAY * float(np.quantile(np.concatenate(like), 0.01)) if spare.any() else 0.0
+    return Kernel(languages, marks, w.astype(np.float32), owner, max(0.0, least))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Kernel | None:
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     df = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    df = df.join(F.broadcast(df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")), "lang").select("doc_id", "text", "lang")
+    frequent = [r.lang for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not frequent:
+        return None
+    df, per_language = df.where(F.col("lang").isin(frequent)), max(1, min(per_language, LEARNED // len(frequent)))
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
     # only ids compete for the places in the sample; the texts of the chosen are fetched by a join with that bounded list
     chosen = df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.dense_rank().over(by_hash)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
@@ -174,8 +197,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     seen: set[str] = set()
     rows = [r[1:] for r in sorted(rows, key=lambda r: r[1] in seen or seen.add(r[1]) or False)]
     languages = sorted({r[1] for r in rows})
-    bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    return fit(normalised(bits), np.array([languages.index(r[1]) for r in rows]), languages)
+    bits = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+    return fit(bits, np.array([languages.index(r[1]) for r in rows]), languages)
 
 
 def told(texts: list[str | None], model: Kernel | None) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -236,6 +236,31 @@ def test_language_values_equal_a_plain_version(spark):
     assert langid.predict(["some text"], tied)[0] == ["de"]
 
 
+def test_fit_in_parts_equals_the_whole_system(monkeypatch):
+    rng = np.random.default_rng(2)
+    bits = np.packbits(rng.random((90, langid.SLOTS)) < 0.05, axis=1)
+    y = np.arange(90) % 3
+    monkeypatch.setattr(langid, "SCORED", 7)
+    got = langid.fit(bits, y, ["a", "b", "c"], landmarks=8)
+    phi = langid.spread(bits).astype(float)
+    marks = np.concatenate([phi[y == k][:8] for k in range(3)])
+    c, target = phi @ marks.T, np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    w = np.linalg.solve(c.T @ c + 90 * langid.RIDGE * (marks @ marks.T) + 1e-6 * np.eye(24), c.T @ target)
+    assert np.allclose(got.weights, w, atol=1e-3 * np.abs(w).max()) and np.allclose(got.landmarks, marks, atol=1e-6)
+    spare = np.concatenate([np.flatnonzero(y == k)[8:] for k in range(3)])
+    like = langid.likeness(phi[spare], c[spare], marks, np.repeat(np.arange(3), 8))[np.arange(len(spare)), y[spare]]
+    assert np.isclose(got.least, max(0.0, langid.STRAY * np.quantile(like, 0.01)), atol=1e-5)
+
+
+def test_many_languages_share_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEARNED", 40)
+    monkeypatch.setattr(langid, "MARKS", 20)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat(repeat(chr(97 + CAST(id % 10 AS INT)), 3), ' text ', id) AS text", "concat('l', id % 10) AS lang")
+    model = langid.train(docs)
+    assert len(model.languages) == 10 and len(model.landmarks) == 20
+    assert sorted(model.owner) == sorted(list(range(10)) * 2)
+
+
 def test_landmarks_come_from_many_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = langid.train(docs)
