@@ -348,7 +348,7 @@ def event_path_lengths(spark, sf_dir):
 
 @query
 def waypoint_pairs(spark, sf_dir):
-    return tidy(route.waypoint_pairs(a.waypoints(spark, sf_dir)))
+    return route.waypoint_pairs(tidy(a.waypoints(spark, sf_dir)))  # rounded once a place, not once a pair
 
 
 @query

@@ -353,6 +353,37 @@ def test_json_and_csv(spark, tmp_path):
     assert kinds == ["disk", "label", "label", "line", "line", "sphere", "sphere"]
 
 
+def test_waypoint_pairs_of_odd_positions(spark):
+    far = 2**53
+    at = [7, None, -4, 7, 0, far, far + 1, far + 2, -far - 1, 7, 3, None, 12, -(2**63), 2**63 - 1]
+    w = spark.createDataFrame([(p, f"w{i}", float(i), float(-i), None, 0.0) for i, p in enumerate(at)], "pos long, name string, x double, y double, z double, radius double")
+    want = sorted((a, f"w{i}", float(i), b, f"w{j}", float(-j)) for i, a in enumerate(at) for j, b in enumerate(at) if a is not None and b is not None and a < b)
+    for rows in (1, 3, 100):
+        got = route.waypoint_pairs(w, rows)
+        assert got.columns == ["spos", "sname", "sx", "sy", "sz", "gpos", "gname", "gx", "gy", "gz"]
+        assert sorted((r.spos, r.sname, r.sx, r.gpos, r.gname, r.gy) for r in got.collect()) == want
+    assert route.waypoint_pairs(w.where("pos is null")).count() == route.waypoint_pairs(w.limit(1)).count() == 0
+
+
+def test_waypoint_pairs_are_dealt_out(spark):
+    n = 3000
+    w = spark.range(0, n, 1, 1).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("name"), *(F.lit(0.0).alias(v) for v in "xyz"))
+    shares = [tuple(r) for r in route.waypoint_pairs(w).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)), F.sum("spos"), F.sum("gpos")).drop("SPARK_PARTITION_ID()").collect()]
+    assert [sum(x) for x in zip(*shares, strict=True)] == [n * (n - 1) // 2, sum(i * (n - 1 - i) for i in range(n)), sum(i * i for i in range(n))]
+    assert len(shares) > 2 and max(s[0] for s in shares) < 0.6 * n * (n - 1) // 2
+
+
+def test_waypoint_pairs_round_places_and_not_pairs(spark, tmp_path):
+    from strata.plans import queries
+
+    rows = [(k, f"s{k}", k % 25) for k in range(30)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    q = queries.QUERIES["waypoint_pairs"](spark, str(tmp_path))
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "round(" in plan and "round(" not in plan[: plan.index("Join")]
+    assert q.count() == 435 and q.where("spos = 1 and gpos = 3").first()[2:5] == (3.7, 2.7, 3.0)
+
+
 def test_pcd_round_trip(spark, tmp_path):
     d = spark.createDataFrame([(0.5, 1.0, -2.0), (3.0, 4.0, 5.25)], "x double, y double, z double").coalesce(1)
     pcd.write_pcd(d, f"{tmp_path}/cloud")
